@@ -141,6 +141,26 @@ def _numbers(words: list[list[bytes]], starts: np.ndarray, block: Block) -> np.n
     return out
 
 
+def _hits(column: pa.Array, blocks: list) -> tuple[np.ndarray, np.ndarray, list[set]]:
+    """Of each text: its words, words hit, and items found."""
+    words, n, starts = _shard(column)
+    hit = np.zeros(int(starts[-1]) + 1, bool)
+    found: list[set] = [set() for _ in words]
+    for shared in blocks:
+        block = shared.value
+        at, which = occurrences(_numbers(words, starts, block), block)
+        change = np.zeros(len(hit) + 1, np.int64)
+        np.add.at(change, at, 1)
+        np.add.at(change, at + block.lengths[which], -1)
+        hit |= np.cumsum(change[:-1]) > 0
+        doc = np.searchsorted(starts, at, side="right") - 1
+        for pair in np.unique(doc * max(1, len(block.lengths)) + which).tolist():
+            d, w = divmod(pair, len(block.lengths))
+            found[d].update(block.items[k] for k in block.item[block.first[w] : block.first[w + 1]].tolist())
+    total = np.concatenate([[0], np.cumsum(hit)])
+    return n, (total[starts[1:]] - total[starts[:-1]]).astype(np.int64), found
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Rows (id, n_words, n_hit, n_items, items_sha256, contaminated, items), one for each row of docs.
 
@@ -152,27 +172,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
 
     def run(batches):
         for batch in batches:
-            words, n, starts = _shard(batch.column(1))
-            hit = np.zeros(int(starts[-1]) + 1, bool)
-            found: list[set] = [set() for _ in words]
-            for shared in blocks:
-                block = shared.value
-                at, which = occurrences(_numbers(words, starts, block), block)
-                change = np.zeros(len(hit) + 1, np.int64)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + block.lengths[which], -1)
-                hit |= np.cumsum(change[:-1]) > 0
-                doc = np.searchsorted(starts, at, side="right") - 1
-                for pair in np.unique(doc * max(1, len(block.lengths)) + which).tolist():
-                    d, w = divmod(pair, len(block.lengths))
-                    found[d].update(block.items[k] for k in block.item[block.first[w] : block.first[w + 1]].tolist())
-            total = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = total[starts[1:]] - total[starts[:-1]]
+            n, n_hit, found = _hits(batch.column(1), blocks)
             names = [sorted({str(x) for x in f}) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(n), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in names], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array(n_hit > 0), pa.array(names, pa.list_(pa.string())),
+                    batch.column(0), pa.array(n), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()),
+                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array(n_hit > 0), pa.array(names, pa.list_(pa.string())),
                 ],
                 names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
             )
@@ -181,6 +186,17 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """docs without the rows in which a window of an item occurs; all columns stay as they are."""
+    blocks, at = query_blocks(items, item_col, item_text_col, window), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_hits(batch.column(at), blocks)[1] == 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def longest_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Rows (id, item, doc_start, item_start, n_words): every maximal verbatim match of a window or more.
 
