@@ -1 +1,121 @@
-"""See the package README section."""
+"""Sources and sinks of file trees."""
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from laconic.functions.languages import SECRET_NAMES, SKIPPED_FOLDERS, SUFFIXES
+
+#: Bytes of a file that is read, at most, and of files that a task reads, about.
+MOST_BYTES, TASK_BYTES = 1_000_000, 32 << 20
+
+SCHEMA = "corpus_id string, file_idx long, filename string, size long, status string, content string"
+
+
+def admits(relative: str, size: int, most: int = MOST_BYTES) -> bool:
+    """Whether a file under a root is read: suffix, secret names, hidden and vendor folders, size."""
+    *folders, name = relative.split("/")
+    suffix = os.path.splitext(name)[1].lower()
+    hidden = any(p.startswith(".") or p in SKIPPED_FOLDERS for p in [*folders, name])
+    return suffix in SUFFIXES and name not in SECRET_NAMES and not hidden and size <= most
+
+
+class _Files(InputPartition):
+    def __init__(self, rows):
+        self.rows = rows
+
+
+class _TreeReader(DataSourceReader):
+    def __init__(self, options):
+        self.paths = [p for p in options.get("paths", options.get("path", "")).split("\n") if p]
+        self.targets = set(filter(None, options.get("exclude", "").split("\n")))
+        self.most = int(options.get("mostBytes", MOST_BYTES))
+
+    def _listed(self, path: str):
+        """(corpus, relative name, full path, size); the full path is None for what isn't there."""
+        if os.path.isfile(path):
+            yield os.path.basename(path), path, os.path.getsize(path)
+        elif os.path.isdir(path):
+            found = []
+            for folder, folders, names in os.walk(path):
+                folders[:] = [f for f in folders if not f.startswith(".") and f not in SKIPPED_FOLDERS]
+                for name in names:
+                    full = os.path.join(folder, name)
+                    found.append((os.path.relpath(full, path).replace(os.sep, "/"), full))
+            for relative, full in sorted(found, key=lambda x: x[0].split("/")):
+                try:
+                    yield relative, full, os.path.getsize(full)
+                except OSError:
+                    continue
+        else:
+            yield path, None, 0
+
+    def partitions(self):
+        parts, rows, size = [], [], 0
+        for path in self.paths:
+            k = 0
+            for relative, full, n in self._listed(path):
+                if full is not None and (not admits(relative, n, self.most) or relative in self.targets):
+                    continue
+                rows.append((path, k, relative, full, n))
+                k, size = k + 1, size + n
+                if size > TASK_BYTES:
+                    parts.append(_Files(rows))
+                    rows, size = [], 0
+        return [*parts, _Files(rows)]
+
+    def read(self, partition):
+        for corpus, k, relative, full, n in partition.rows:
+            if full is None:
+                yield corpus, k, relative, 0, "missing", None
+                continue
+            try:
+                with open(full, "rb") as f:
+                    text = f.read().decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
+            except OSError:
+                continue
+            yield corpus, k, relative, n, "read", text
+
+
+class TreeSource(DataSource):
+    """spark.read.format("srctree"): option paths, one root or file a line; exclude, one name a line; mostBytes.
+
+    Names that begin with _ are listed too, unlike in Spark's own file sources. Files that can't be
+    read are left out; a path that isn't there is a row with status missing.
+    """
+
+    @classmethod
+    def name(cls):
+        return "srctree"
+
+    def schema(self):
+        return SCHEMA
+
+    def reader(self, schema):
+        return _TreeReader(self.options)
+
+
+def load_files(spark: SparkSession, *paths: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of SCHEMA for files under the paths; each path is a corpus."""
+    spark.dataSource.register(TreeSource)
+    return spark.read.format("srctree").option("paths", "\n".join(paths)).option("exclude", "\n".join(exclude)).load()
+
+
+def with_extensions(files: DataFrame, suffixes: list[str]) -> DataFrame:
+    """Files whose name ends with one of the suffixes, by case."""
+    return files.filter(F.exists(F.array(*map(F.lit, suffixes)), lambda s: F.endswith("filename", s))) if suffixes else files
+
+
+def in_memory(spark: SparkSession, files: dict[str, str], corpus_id: str = "memory") -> DataFrame:
+    """A corpus from a dict, in its order."""
+    rows = [(corpus_id, k, name, text) for k, (name, text) in enumerate(files.items())]
+    return spark.createDataFrame(rows, "corpus_id string, file_idx long, filename string, content string")
+
+
+def joined_text(files: DataFrame, content: str = "compressed") -> DataFrame:
+    """Rows (corpus_id, text): files by name, each under a header line unless it is alone."""
+    named = F.array_sort(F.collect_list(F.struct("filename", F.col(content).alias("_x"))))
+    parts = files.groupBy("corpus_id").agg(named.alias("_f"))
+    return parts.select("corpus_id", F.array_join(F.transform("_f", lambda f: F.when(F.size("_f") > 1, F.concat(F.lit("--- "), f["filename"], F.lit(" ---\n"), f["_x"])).otherwise(f["_x"])), "\n").alias("text"))
