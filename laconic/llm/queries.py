@@ -4,6 +4,7 @@ from laconic.llm.decontaminate import ORACLE as OP10, op10_decontaminate
 from laconic.llm.langid import op6_language_id
 from laconic.llm.licenses import ORACLE as OP4, op4_licenses
 from laconic.llm.packing import op7_packing
+from laconic.llm.passages import op8_passages
 from laconic.llm.pii import op9_personal_data
 from laconic.llm.quality import op3_quality
 from laconic.llm.simhash import op2_near_duplicates
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
+    "op8_passages": op8_passages,
     "op9_personal_data": op9_personal_data,
     "op10_decontaminate": op10_decontaminate,
 }
