@@ -166,7 +166,7 @@ def approx_tokens(spark, d):
 def _windows_sql(first: int, last: int) -> str:
     return f"""{_FILES}, {_LINES},
 w AS (SELECT corpus_id, array_to_string(l[i:i + n - 1], chr(10)) AS pattern FROM (SELECT corpus_id, n, list_transform(l, lambda x: trim(x)) AS l, unnest(range(1, len(l) - n + 2)) AS i FROM lines, (SELECT unnest(range({first}, {last + 1})) AS n) WHERE len(l) >= n)),
-scored AS (SELECT corpus_id, pattern, count(*) AS count, ((length(pattern) - 5) * count(*))::BIGINT AS score FROM w WHERE length(pattern) >= 30 GROUP BY ALL HAVING count(*) >= 3)"""
+scored AS (SELECT corpus_id, pattern, count(*) AS count, ((length(pattern) - 5) * count(*))::BIGINT AS score FROM w WHERE length(pattern) >= 30 GROUP BY corpus_id, pattern HAVING count(*) >= 3)"""
 
 
 @_query(f"WITH {_windows_sql(1, 1)} SELECT * FROM scored")
@@ -253,7 +253,7 @@ def import_blocks(spark, d):
 @_query("""
 SELECT corpus_id, pattern, count(*) AS count, sum(length(pattern) - 5)::BIGINT - (length(pattern) - 5) AS score FROM
 (SELECT source AS corpus_id, unnest(['import os' || chr(10) || 'import sys' || chr(10) || 'import m' || (doc_id % 3), 'def function_' || (doc_id % 3) || '(value):' || chr(10) || '    return value + ' || (doc_id % 3)]) AS pattern FROM documents)
-WHERE length(pattern) >= 30 GROUP BY ALL HAVING count(*) >= 3""")
+WHERE length(pattern) >= 30 GROUP BY corpus_id, pattern HAVING count(*) >= 3""")
 def syntax_patterns(spark, d):
     """Python sources made from doc_id: import blocks and bodies, grouped over each source."""
     k = (F.col("file_idx") % 3).cast("string")
