@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from laconic.llm.common import crc_mod, table, texts, typed
 
 #: Labelled documents a language that are fitted on, about; letters of the longest n-gram.
-SAMPLE_PER_LANG, ORDER = 2000, 4
+SAMPLE_PER_LANG, ORDER = 1500, 4
 #: Log-likelihood that a change of language costs; what a word can add for one language over another.
 SWITCH, MOST = 12.0, 8.0
 #: Share of a language's sample letters that makes a script one of its own.
@@ -32,13 +32,16 @@ SCRIPTS = (
     ("telugu", 0xC00, 0xC7F), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF), ("latin", 0x1E00, 0x1EFF),
     ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x4DBF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 )
-_FIRST = np.array([x[1] for x in SCRIPTS])
+NAMES = [*dict.fromkeys(x[0] for x in SCRIPTS), "other"]
+_FIRST, _LAST = (np.array([x[k] for x in SCRIPTS]) for k in (1, 2))
+_NUMBER = np.array([NAMES.index(x[0]) for x in SCRIPTS])
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def script_of(letter: str) -> str:
-    """The script of a letter by its range, "other" outside all of them."""
-    k = int(np.searchsorted(_FIRST, ord(letter), side="right")) - 1
-    return SCRIPTS[k][0] if k >= 0 and ord(letter) <= SCRIPTS[k][2] else "other"
+def scripts_of(codes: np.ndarray) -> np.ndarray:
+    """Numbers in NAMES of letters' scripts by their ranges."""
+    k = np.searchsorted(_FIRST, codes, side="right") - 1
+    return np.where((k >= 0) & (codes <= _LAST[k]), _NUMBER[k], len(NAMES) - 1)
 
 
 def words_of(chunk: str) -> list[str]:
@@ -47,14 +50,28 @@ def words_of(chunk: str) -> list[str]:
     return [chunk] if chunk.isalpha() else ["".join(g) for letters, g in groupby(chunk, str.isalpha) if letters]
 
 
-def grams_of(word: str, order: int = ORDER) -> list[str]:
-    """Letter n-grams of a word in its boundaries, and single letters."""
-    word = f"<{word}>"
-    return [word[k : k + n] for n in range(2, order + 1) for k in range(len(word) - n + 1)] + list(word[1:-1])
+def gram_keys(words: list[str], order: int = ORDER):
+    """For each n, the positions of n-grams in the joined words (each in its boundaries) and their keys.
+
+    A position is that of an n-gram's last character. Single letters have their code point as key, and
+    boundaries are none. Returns the words' starts as well.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    codes = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) if words else np.zeros(0, np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(codes)) - np.repeat(starts, sizes)
+    inner = (place > 0) & (place < np.repeat(sizes, sizes) - 1)
+    found = {1: (at := np.flatnonzero(inner), codes[at])}
+    key = codes
+    for n in range(2, order + 1):
+        key = key[:-1] * _FACTOR + codes[n - 1 :] if len(key) else key
+        at = np.flatnonzero(place >= n - 1)
+        found[n] = (at, key[at - n + 1])
+    return starts, len(codes), found
 
 
 def count_grams(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """Rows (lang, gram, n) over all of labelled: summed in each task, then by key."""
+    """Rows (lang, size, key, n) over all of labelled: summed in each task, then by key."""
 
     def run(batches):
         for batch in batches:
@@ -62,70 +79,85 @@ def count_grams(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame
             for text, lang in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
                 words.setdefault(lang, Counter()).update(text.split())
             for lang, chunks in words.items():
-                grams: Counter = Counter()
+                own: Counter = Counter()
                 for chunk, n in chunks.items():
                     for word in words_of(chunk):
-                        for gram in grams_of(word):
-                            grams[gram] += n
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(grams), "gram": list(grams), "n": list(grams.values())}, schema=pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())]))
+                        own[word] += n
+                starts, size, found = gram_keys(list(own))
+                weight = np.repeat(np.fromiter(own.values(), float, len(own)), np.diff(np.append(starts, size)))
+                for n, (at, keys) in found.items():
+                    unique, inverse = np.unique(keys, return_inverse=True)
+                    times = np.bincount(inverse, weight[at], len(unique)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(unique), pa.string()), pa.array(np.full(len(unique), n, np.int32)), pa.array(unique.view(np.int64)), pa.array(times)], names=["lang", "size", "key", "n"])
 
-    return labelled.select(text_col, F.col(label_col).cast("string")).mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return labelled.select(text_col, F.col(label_col).cast("string")).mapInArrow(run, "lang string, size int, key long, n long").groupBy("lang", "size", "key").agg(F.sum("n").alias("n"))
 
 
 class Model:
     """Log-probabilities of n-grams by language, centred over languages; unseen ones say nothing."""
 
-    def __init__(self, counts: list[tuple[str, str, int]]):
-        self.langs = sorted({lang for lang, _, _ in counts})
-        at = {lang: k for k, lang in enumerate(self.langs)}
-        self.index: dict[str, int] = {}
-        for _, gram, _ in counts:
-            self.index.setdefault(gram, len(self.index))
-        seen = np.zeros((len(self.index), max(1, len(self.langs))), np.float64)
-        for lang, gram, n in counts:
-            seen[self.index[gram], at[lang]] = n
-        size = np.array([len(g) for g in self.index], np.int64)
-        log = np.zeros_like(seen)
-        for n in range(1, ORDER + 1):
-            own = size == n
-            rows = seen[own]
-            log[own] = np.log((rows + 0.5) / (rows.sum(0, keepdims=True) + 0.5 * len(rows)))
-        self.log = (log - log.mean(1, keepdims=True)).astype(np.float32)
-        letters: dict[str, np.ndarray] = {}
-        for gram, k in self.index.items():
-            if len(gram) == 1:
-                letters[script_of(gram)] = letters.get(script_of(gram), 0) + seen[k]
-        total = sum(letters.values()) if letters else 1.0
-        self.own = {script: n >= np.maximum(1, SCRIPT_SHARE * total) for script, n in letters.items()}
-
-    def score(self, chunk: str) -> tuple[np.ndarray, int]:
-        """A chunk's score for each language, at most MOST apart, and its letters."""
-        words = words_of(chunk)
-        if not words:
-            return np.zeros(self.log.shape[1], np.float32), 0
-        rows = [k for w in words for g in grams_of(w) if (k := self.index.get(g)) is not None]
-        score = self.log[rows].sum(0) if rows else np.zeros(self.log.shape[1], np.float32)
-        score = np.maximum(score - score.max(), -MOST)
-        own = self.own.get(script_of(words[0][0]))
-        if own is not None and own.any():
-            score = np.where(own, score, -MOST).astype(np.float32)
-        return score - score.mean(), sum(map(len, words))
+    def __init__(self, counts: pa.Table):
+        lang = np.array(counts.column("lang").to_pylist(), object)
+        size, key, n = (counts.column(c).to_numpy() for c in ("size", "key", "n"))
+        self.langs = sorted(set(lang.tolist()))
+        at = np.searchsorted(np.array(self.langs, object), lang) if self.langs else np.zeros(0, np.int64)
+        self.keys, self.logs, script = {}, {}, np.zeros((len(NAMES), max(1, len(self.langs))))
+        for k in range(1, ORDER + 1):
+            own = size == k
+            self.keys[k], inverse = np.unique(key[own].astype(np.int64).view(np.uint64), return_inverse=True)
+            seen = np.zeros((len(self.keys[k]), max(1, len(self.langs))))
+            np.add.at(seen, (inverse, at[own]), n[own])
+            if k == 1:
+                np.add.at(script, scripts_of(self.keys[1].astype(np.int64)), seen)
+            log = np.log((seen + 0.5) / (seen.sum(0, keepdims=True) + 0.5 * len(seen)))
+            self.logs[k] = (log - log.mean(1, keepdims=True)).astype(np.float32)
+        self.own = script >= np.maximum(1, SCRIPT_SHARE * script.sum(0, keepdims=True))
+        self.own[~self.own.any(1)] = True
+
+    def score(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of chunks for each language, at most MOST apart, and their letters."""
+        split = [words_of(c) for c in chunks]
+        words = [w for ws in split for w in ws]
+        many = np.fromiter(map(len, split), np.int64, len(split))
+        letters = np.fromiter((sum(map(len, ws)) for ws in split), np.int64, len(split))
+        score = np.zeros((len(chunks), max(1, len(self.langs))), np.float32)
+        some = np.flatnonzero(many)
+        if len(some):
+            starts, size, found = gram_keys(words)
+            total = np.zeros((size, score.shape[1]), np.float32)
+            for n, (at, keys) in found.items():
+                known = self.keys[n]
+                if n > 1 and len(known):
+                    row = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    hit = known[row] == keys
+                    total[at[hit]] += self.logs[n][row[hit]]
+            first = np.cumsum(many)[some] - many[some]
+            sums = np.add.reduceat(total, starts[first], axis=0)
+            sums = np.maximum(sums - sums.max(1, keepdims=True), -MOST)
+            leading = np.array([ord(words[k][0]) for k in first.tolist()], np.int64)
+            sums = np.where(self.own[scripts_of(leading)], sums, -MOST)
+            score[some] = sums - sums.mean(1, keepdims=True)
+        return score, letters
 
 
 class _Scores(dict):
-    """Numbers of chunks; their scores and letters are rows of arrays."""
+    """Numbers of chunks; their scores and letters are rows of arrays, after settle()."""
 
     def __init__(self, model: Model):
-        self.model, self.rows, self.letters = model, np.zeros((1024, model.log.shape[1]), np.float32), np.zeros(1024, np.int64)
+        self.model, self.new = model, []
+        self.rows, self.letters = np.zeros((0, max(1, len(model.langs))), np.float32), np.zeros(0, np.int64)
 
     def __missing__(self, chunk):
-        k = len(self)
-        if k == len(self.rows):
-            self.rows, self.letters = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.rows[k], self.letters[k] = self.model.score(chunk)
-        self[chunk] = k
+        self.new.append(chunk)
+        k = self[chunk] = len(self)
         return k
 
+    def settle(self) -> None:
+        parts = [self.model.score(self.new[k : k + 20_000]) for k in range(0, len(self.new), 20_000)]
+        self.rows = np.concatenate([self.rows, *(p[0] for p in parts)])
+        self.letters = np.concatenate([self.letters, *(p[1] for p in parts)])
+        self.new = []
+
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
     """The best language of each word of many documents at once; a change costs penalty.
@@ -163,7 +195,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
     sizes = labelled.groupBy("_lang").count()
     draw = F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.join(F.broadcast(sizes), "_lang").filter(draw * F.col("count") < per_lang).select(text_col, "_lang").distinct()
-    return Model([tuple(r) for r in count_grams(sample, text_col, "_lang").toLocalIterator()])
+    return Model(count_grams(sample, text_col, "_lang").toArrow())
 
 
 class Labeller:
@@ -180,6 +212,7 @@ class Labeller:
         lengths = np.array([len(x) for x in words], np.int64)
         starts = np.cumsum(lengths) - lengths
         flat = np.concatenate([*words, np.zeros(0, np.int32)])
+        self.scores.settle()
         label = viterbi(self.scores.rows[flat], starts, lengths, self.penalty)
         share = np.zeros((len(words), max(1, len(langs))))
         np.add.at(share, (np.repeat(np.arange(len(words)), lengths), label), self.scores.letters[flat])

@@ -241,11 +241,11 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", t
 
     All columns stay as they are. Only keys go through the comparison; texts are shuffled once.
     """
-    keyed = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
-    found = near_duplicates(keyed, radius, "_key", text_col)
-    kept = found.filter(F.col("_key") == F.col("component_id")).select("_key").distinct()
-    once = Window.partitionBy("_key").orderBy("_key")
-    return keyed.join(kept, "_key", "left_semi").withColumn("_row", F.row_number().over(once)).filter("_row = 1").select(*docs.columns)
+    keyed = docs.withColumn("__laconic_key", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
+    found = near_duplicates(keyed, radius, "__laconic_key", text_col)
+    kept = found.filter(F.col("__laconic_key") == F.col("component_id")).select("__laconic_key").distinct()
+    once = Window.partitionBy("__laconic_key").orderBy("__laconic_key")
+    return keyed.join(kept, "__laconic_key", "left_semi").withColumn("__laconic_row", F.row_number().over(once)).filter("__laconic_row = 1").select(*docs.columns)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
