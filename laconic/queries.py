@@ -12,6 +12,7 @@ from laconic.functions.languages import admitted, detect_language, parsed_langua
 from laconic.operators import blocks, codebook, comments, patterns, rle, similarity, syntax, whitespace
 from laconic.plans import compression, session
 from laconic.plans.lineage import checkpointed
+from laconic.sources import joined_text, with_extensions
 
 OWN = Settings()
 QUERIES: dict = {}
@@ -355,6 +356,30 @@ def session_running(spark, d):
     return session.event_lines(numbered).select("conv_id", "event_no", "running_original_tokens", "running_compressed_tokens", "line")
 
 
+@_query(f"WITH {_FILES} SELECT corpus_id, md5(string_agg(CASE WHEN n > 1 THEN '--- ' || filename || ' ---' || chr(10) || content ELSE content END, chr(10) ORDER BY filename)) AS text_md5 FROM (SELECT *, count(*) OVER (PARTITION BY corpus_id) AS n FROM files) GROUP BY corpus_id")
+def concat_sink(spark, d):
+    """What the concatenating sink writes for each source, as a digest."""
+    return joined_text(corpora(spark, d), "content").select("corpus_id", F.md5("text").alias("text_md5"))
+
+
+@_query(f"WITH {_FILES} SELECT corpus_id, file_idx FROM files WHERE ends_with(filename, '7.txt') OR ends_with(filename, '9.txt')")
+def extension_filter(spark, d):
+    return with_extensions(corpora(spark, d), ["7.txt", "9.txt"]).select("corpus_id", "file_idx")
+
+
+@_query(f"WITH {_FILES} SELECT corpus_id, file_idx, file_idx IN (SELECT doc_id FROM labels WHERE toxic = 1) AS is_target FROM files")
+def target_split(spark, d):
+    """Targets (here the toxic documents) and the rest, by a semi and an anti join."""
+    files, marked = corpora(spark, d).select("corpus_id", "file_idx"), _table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("file_idx"))
+    return files.join(marked, "file_idx", "left_semi").withColumn("is_target", F.lit(True)).unionByName(files.join(marked, "file_idx", "left_anti").withColumn("is_target", F.lit(False)))
+
+
+@_query(f"WITH {_FILES} SELECT corpus_id, sum(n)::BIGINT AS tokens FROM (SELECT corpus_id, len(regexp_extract_all(string_agg(content, chr(10) ORDER BY file_idx), '[\\pL\\pN]{{1,4}}|[^\\pL\\pN\\s]'))::BIGINT AS n FROM files GROUP BY corpus_id) GROUP BY corpus_id")
+def corpus_tokens(spark, d):
+    """Rough tokens of each source's joined text."""
+    return compression.token_totals(corpora(spark, d), T.approx_tokens, "content").withColumnRenamed("content", "tokens")
+
+
 # ---- the whole plan
 
 

@@ -20,16 +20,17 @@ PREAMBLE = "Codes like [D1] stand for the patterns listed under [CODEBOOK]; [sam
 class Session:
     """Compressions of one session, and the functions that add to them."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.events = spark, []
+    def __init__(self, spark: SparkSession, settings=TOOL_SETTINGS):
+        self.spark, self.settings, self.events = spark, settings, []
 
     def _run(self, files, target: str | None, shorten: bool, stages: bool) -> str:
         files = files.filter("status = 'read'")
         home = os.path.expanduser("~")
-        done = compress(files, replace(TOOL_SETTINGS, target_files=(target,) if target else ()))
+        done = compress(files, replace(self.settings, target_files=(target,) if target else ()))
         rows, stats = done.files.orderBy("filename").collect(), done.stats.collect()
         before, after = sum(s["original_chars"] for s in stats), sum(s["compressed_chars"] for s in stats)
-        self.events.append((time.time(), [r["filename"] for r in rows], before // 4, after // 4, before, after))
+        tokens = [sum(s[c] or 0 for s in stats) for c in ("original_tokens", "compressed_tokens")]
+        self.events.append((time.time(), [r["filename"] for r in rows], *tokens, before, after))
         show = lambda n: "~" + n[len(home) :] if shorten and n.startswith(home) else n
         parts = [PREAMBLE]
         for r in rows:
@@ -37,7 +38,8 @@ class Session:
         pct = 100 * (1 - after / before) if before else 0.0
         by_stage = {k: sum(s["stage_savings"][k] for s in stats) for k in (stats[0]["stage_savings"] if stats else {})}
         more = "".join(f" | {k}: {v:,}" for k, v in by_stage.items() if v > 0) if stages else ""
-        parts.append(f"\n[{len(rows)} files | {before:,} -> {after:,} chars, {pct:.0f}% saved{more}]")
+        counted = f" | {tokens[0]:,} -> {tokens[1]:,} tokens" if tokens[0] else ""
+        parts.append(f"\n[{len(rows)} files | {before:,} -> {after:,} chars, {pct:.0f}% saved{counted}{more}]")
         return "\n".join(parts)
 
     def read_compressed(self, paths: list[str], target: str | None = None) -> str:

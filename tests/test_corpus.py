@@ -155,6 +155,19 @@ def test_pairs_lose_nothing(spark):
     assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if difflib.SequenceMatcher(None, t[i], t[j]).ratio() >= 0.8}
 
 
+def test_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 20))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+            row = new
+        assert similarity.common_length(a, similarity.letter_places(b), len(b)) == row[-1]
+
+
 def test_leaders_like_plain(spark):
     rng = random.Random(6)
     edges = {tuple(sorted(rng.sample(range(25), 2))) for _ in range(40)}
@@ -215,6 +228,14 @@ def test_whole_plan(spark):
     assert "Service" in rows["user.py"].compressed and (other.backed_off or "[delta from" in other.compressed or "[same as" in other.compressed)
 
 
+def test_token_counts_of_a_run(spark):
+    P = pytest.importorskip("public_tokenizers")
+    settings = Settings(ranks_path=P.path("byte_bpe_50k.tiktoken"), ranks_pattern=P.PATTERN)
+    stats = compress(in_memory(spark, {"a": "hello  world", "b": "hello"}), settings).stats.first()
+    assert (stats.original_tokens, stats.compressed_tokens) == (5, 4) and "Tokens: 5 -> 4" in summary(stats)
+    assert compress(in_memory(spark, {"a": "x"})).stats.first().original_tokens is None
+
+
 def test_targets_stay_and_small_files_back_off(spark):
     files = {"main.py": "# stays\nx = 1", "utils.py": "\n".join(["# gone"] * 10 + ["x = 1"])}
     done = compress(in_memory(spark, files), Settings(target_files=("main.py",)))
