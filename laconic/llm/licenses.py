@@ -39,7 +39,7 @@ KNOWN: dict[str, tuple[str, ...]] = {
 _TITLES = {"MIT": "MIT License", "MIT-0": "MIT No Attribution", "ISC": "ISC License", "0BSD": "Zero-Clause BSD", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ‘’“”–—‐ ", "abcdefghijklmnopqrstuvwxyz''\"\"--- "
-_NOTICE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+_NOTICE = r"(^|\n)[^a-z0-9\n]*(copyright[^\n]*([0-9]{4}|\(c\)|©)|\(c\)|©|all rights reserved)[^\n]*"
 _SPELLINGS = (
     ("licence", "license"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("favour", "favor"), ("honour", "honor"),
     ("merchantibility", "merchantability"), ("non-infringement", "noninfringement"), ("sub-license", "sublicense"), ("per cent", "percent"),

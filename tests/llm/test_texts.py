@@ -116,7 +116,7 @@ def test_further_spans_and_redaction():
     text = "IBAN DE89 3704 0044 0532 0130 00, IBAN DE88370400440532013000 by jo@ex.org, token = \"0641917ea4e9feb9cda83477b57ac2654884f485\""
     kinds = [(k, text[a:b]) for k, a, b in pii.find_spans(text)]
     assert ("iban", "DE89 3704 0044 0532 0130 00") in kinds and ("email", "jo@ex.org") in kinds
-    assert ("key", "0641917ea4e9feb9cda83477b57ac2654884f485") in kinds and not any("DE88" in x for _, x in kinds if _ == "iban" and pii.mod97(x))
+    assert ("key", "0641917ea4e9feb9cda83477b57ac2654884f485") in kinds and not any(k == "iban" and "DE88" in x for k, x in kinds)
     clean = pii.redacted(text, pii.find_spans(text))
     assert "jo@ex.org" not in clean and "<email>" in clean and not pii.find_spans(clean)
 
@@ -196,17 +196,20 @@ def plain_words(text):
 
 
 def plain_leaks(docs, items):
+    windows = {}
+    for item, text in items:
+        w = plain_words(text)
+        n = min(10, len(w))
+        for a in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[a : a + n]), set()).add(str(item))
     out = []
     for d, text, *_ in docs:
         words, hit, found = plain_words(text), set(), set()
-        for item, own in items:
-            w = plain_words(own)
-            n = min(10, len(w))
-            for a in range(len(w) - n + 1 if n else 0):
-                for i in range(len(words) - n + 1):
-                    if words[i : i + n] == w[a : a + n]:
-                        hit.update(range(i, i + n))
-                        found.add(str(item))
+        for n in {len(w) for w in windows}:
+            for i in range(len(words) - n + 1):
+                if own := windows.get(tuple(words[i : i + n])):
+                    hit.update(range(i, i + n))
+                    found |= own
         out.append((d, len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return out
 
