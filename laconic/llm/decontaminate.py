@@ -1,7 +1,7 @@
 """Operator 10, benchmark decontamination: suffix arrays over shards of the training words.
 
 The benchmark is the stated query set: it is cut into blocks of at most BLOCK_BYTES of text, each
-broadcast. A shard is an Arrow batch of whole documents. Its suffix array holds every suffix that
+broadcast. A shard is some whole documents of an Arrow batch. Its suffix array holds every suffix that
 can match: those that begin with as many words known to the block as its shortest window has. All
 windows of the block are binary-searched in it together; a window's occurrences are one range of
 the array. Documents never leave their task, so nothing is shuffled.
@@ -19,6 +19,8 @@ from laconic.llm.common import table, typed, utf8
 
 #: Words of a window; bytes of benchmark text in a broadcast block, at most, but for one longer item.
 WINDOW, BLOCK_BYTES = 10, 4 << 20
+#: Bytes of training text in a shard, about.
+SHARD_BYTES = 10 << 20
 
 #: A-Z to lower case; bytes that no word has to blanks; digits, a-z and all beyond ASCII stay.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -142,7 +144,10 @@ def _numbers(words: list[list[bytes]], starts: np.ndarray, block: Block) -> np.n
 
 
 def _hits(column: pa.Array, blocks: list) -> tuple[np.ndarray, np.ndarray, list[set]]:
-    """Of each text: its words, words hit, and items found."""
+    """Of each text: its words, words hit, and items found. A shard has about SHARD_BYTES, or one longer text."""
+    if len(column) > 1 and column.nbytes > SHARD_BYTES:
+        halves = [_hits(column.slice(0, len(column) // 2), blocks), _hits(column.slice(len(column) // 2), blocks)]
+        return np.concatenate([h[0] for h in halves]), np.concatenate([h[1] for h in halves]), halves[0][2] + halves[1][2]
     words, n, starts = _shard(column)
     hit = np.zeros(int(starts[-1]) + 1, bool)
     found: list[set] = [set() for _ in words]

@@ -21,8 +21,8 @@ SAMPLE_PER_LANG, ORDER = 1500, 4
 SWITCH, MOST = 12.0, 8.0
 #: Share of a language's sample letters that makes a script one of its own.
 SCRIPT_SHARE = 0.01
-#: Chunks that a worker remembers, about.
-REMEMBERED = 400_000
+#: Chunks that a worker remembers, about; characters labelled at a time.
+REMEMBERED, STEP_CHARS = 300_000, 10_000_000
 
 UNDETERMINED = "und"
 
@@ -205,6 +205,10 @@ class Labeller:
         self.model, self.penalty, self.scores = model, penalty, _Scores(model)
 
     def label(self, batch: list[str]) -> tuple[list[str], np.ndarray, pa.Array]:
+        """Languages, shares and spans of texts; by halves where they are over STEP_CHARS together."""
+        if len(batch) > 1 and sum(map(len, batch)) > STEP_CHARS:
+            halves = [self.label(batch[: len(batch) // 2]), self.label(batch[len(batch) // 2 :])]
+            return halves[0][0] + halves[1][0], np.concatenate([h[1] for h in halves]), pa.concat_arrays([h[2] for h in halves])
         if len(self.scores) > REMEMBERED:
             self.scores = _Scores(self.model)
         langs, get = self.model.langs, self.scores.__getitem__

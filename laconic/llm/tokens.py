@@ -10,8 +10,8 @@ import re
 
 import numpy as np
 
-#: Chunks that a worker remembers; at that number it starts afresh.
-REMEMBERED = 400_000
+#: Chunks, and pieces of chunks, that a worker remembers; at that number it starts afresh.
+CHUNKS, PIECES = 300_000, 250_000
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same rule for lower-case chunks of the characters in _PLAIN.
@@ -27,11 +27,11 @@ def _byte_letters() -> list[str]:
 
 
 class _Memo(dict):
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most):
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
         value = self[key] = self.make(key)
         return value
@@ -56,8 +56,8 @@ class Encoder:
         self.by_chunk = by_words and byte_level and kinds == ["NFC", "Replace", "Lowercase"] and not form.get("post_processor") and all(" " not in x and "\n" not in x for x in added)
         self.specials = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.letters = _byte_letters()
-        self.pieces = _Memo(self._piece)
-        self.chunks = _Memo(self._chunk)
+        self.pieces = _Memo(self._piece, PIECES)
+        self.chunks = _Memo(self._chunk, CHUNKS)
 
     def _piece(self, piece: str) -> bytes:
         spelt = "".join([self.letters[b] for b in piece.encode()])
