@@ -26,7 +26,7 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
-#: Known texts by identifier, with the titles under which they also go. Short notices are known too.
+#: Known texts by identifier, with the titles under which they also go.
 KNOWN: dict[str, tuple[str, ...]] = {
     "MIT": (f"{_MIT_HEAD}, subject to the following conditions:\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n{_MIT_TAIL}",),
     "MIT-0": (f"{_MIT_HEAD}.\n{_MIT_TAIL}",),
@@ -38,6 +38,44 @@ KNOWN: dict[str, tuple[str, ...]] = {
 }
 _TITLES = {"MIT": "MIT License", "MIT-0": "MIT No Attribution", "ISC": "ISC License", "0BSD": "Zero-Clause BSD", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"}
 
+#: SHA-256 of the canonical form of long licences, whole and without their appendix on how to apply them.
+LONG: dict[str, str] = {
+    "0be25ae8b112b6c47bf696a745855eebba678079747ad8bbf877d928555027f1": "Apache-2.0",
+    "9446b99128ec9c3946adbb681853599f3a5f01a69d6c0762a9d0ab699868d801": "Apache-2.0",
+    "c46dfd45ed4a19fe4a99eaed08590a0c093e3a0b73c293ece466f468b902aff3": "Apache-2.0",
+    "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2": "Artistic-1.0-Perl",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b": "GFDL-1.2",
+    "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d": "GFDL-1.3",
+    "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc": "GPL-1.0",
+    "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70": "GPL-1.0",
+    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0",
+    "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808": "GPL-2.0",
+    "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34": "GPL-2.0",
+    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
+    "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191": "GPL-3.0",
+    "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636": "GPL-3.0",
+    "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a": "GPL-3.0",
+    "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2": "LGPL-2.0",
+    "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260": "LGPL-2.0",
+    "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908": "LGPL-2.0",
+    "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4": "LGPL-2.1",
+    "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
+    "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61": "MPL-1.1",
+    "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56": "MPL-2.0",
+    "7a4d92cdb11d254973a073803be1148a5402f1b2ca67808cdb3ef78b596102cd": "Unlicense",
+}
+#: Short notices of a licence, and the names under which it goes in them besides its title and identifier.
+_NOTICES = ("{verb} under the {name}", "{verb} under {name}", "{verb} under the terms of the {name}")
+_VERBS = tuple(f"{s}{v}" for s in ("", "This project is ", "This software is ", "This work is ", "This file is ", "This code is ") for v in ("released", "licensed", "distributed", "available"))
+_NAMES = {
+    "Apache-2.0": ("Apache License 2.0", "Apache License, Version 2.0"), "CC0-1.0": ("CC0 1.0 Universal", "CC0 1.0"), "Unlicense": ("Unlicense",),
+    "GPL-2.0": ("GNU General Public License v2.0", "GNU General Public License version 2", "GPLv2"), "GPL-3.0": ("GNU General Public License v3.0", "GNU General Public License version 3", "GPLv3"),
+    "LGPL-2.1": ("GNU Lesser General Public License v2.1", "LGPLv2.1"), "LGPL-3.0": ("GNU Lesser General Public License v3.0", "LGPLv3"), "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, Version 2.0"),
+}
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ‘’“”–—‐ ", "abcdefghijklmnopqrstuvwxyz''\"\"--- "
 _NOTICE = r"(^|\n)[^a-z0-9\n]*(copyright[^\n]*([0-9]{4}|\(c\)|©)|\(c\)|©|all rights reserved)[^\n]*"
 _SPELLINGS = (
@@ -64,6 +102,16 @@ def canonical_column(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _PUNCTUATION, " "))
 
 
+def short_notices() -> list[tuple[str, str]]:
+    """(text, identifier) of notices that say no more than under which licence something is, and of SPDX lines."""
+    names = {**{k: (v,) for k, v in _TITLES.items()}, **_NAMES}
+    out = []
+    for key, own in names.items():
+        out.append((f"SPDX-License-Identifier: {key}", key))
+        out += [(n.format(verb=v, name=x), key) for x in (*own, key) for v in _VERBS for n in _NOTICES]
+    return out
+
+
 def known_digests(known: dict[str, tuple[str, ...]] = KNOWN) -> list[tuple[str, str]]:
     """(digest, identifier) of each known text, alone and under its title; digests once."""
     found: dict[str, str] = {}
@@ -71,6 +119,11 @@ def known_digests(known: dict[str, tuple[str, ...]] = KNOWN) -> list[tuple[str,
         for form in forms:
             for text in (form, f"{_TITLES.get(name, name)}\n{form}", f"The {_TITLES.get(name, name)}\n{form}"):
                 found.setdefault(hashlib.sha256(canonical(text).encode()).hexdigest(), name)
+    if known is KNOWN:
+        for digest, name in LONG.items():
+            found.setdefault(digest, name)
+        for text, name in short_notices():
+            found.setdefault(hashlib.sha256(canonical(text).encode()).hexdigest(), name)
     return sorted(found.items())
 
 

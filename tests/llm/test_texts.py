@@ -252,3 +252,22 @@ def test_crc_of_ids(spark):
 
     got = spark.range(20).select(crc_mod(F.col("id"), 3).alias("x")).collect()
     assert [r.x for r in got] == [zlib.crc32(str(i).encode()) % 3 for i in range(20)]
+
+
+def test_long_licences_and_short_notices():
+    import hashlib
+    from pathlib import Path
+
+    from laconic.llm import licenses
+
+    known = dict(licenses.known_digests())
+    name = lambda text: known.get(hashlib.sha256(licenses.canonical(text).encode()).hexdigest())
+    assert name("Released under the MIT License.") == "MIT"
+    assert name("This project is licensed under the Apache License, Version 2.0") == "Apache-2.0"
+    assert name("// SPDX-License-Identifier: GPL-3.0") == "GPL-3.0"
+    assert name("Released under the MIT License. Enjoy it.") is None
+    assert {"Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"} <= set(known.values())
+    folder = Path("/usr/share/common-licenses")
+    for file, one in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if (folder / file).exists():
+            assert name((folder / file).read_text()) == one
