@@ -1,7 +1,7 @@
 """Operator 2, SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two fingerprints that differ in at most RADIUS bits share a variant that is at most half the radius
-from each. So every distinct fingerprint has its ball of variants, variants are grouped, and
+Two fingerprints that differ in at most RADIUS bits share a variant that is at most half the radius,
+rounded up, from each. So every distinct fingerprint has its ball of variants, variants are grouped, and
 fingerprints that meet in one are verified. What is shuffled are not the variants themselves: all
 variants of a fingerprint that go to the same place (equal leading bits) travel as one row, and are
 written out there. A place works through its variants in slices of bounded size.
@@ -9,7 +9,7 @@ written out there. A place works through its variants in slices of bounded size.
 A pair meets in several variants. It counts only at its canonical one: the smaller fingerprint with
 the lower half of the differing bits flipped. So no list of pairs is shuffled to remove repeats:
 each place sends sums of neighbours, and the edges of a spanning forest, at most one a fingerprint.
-No variant has more fingerprints than its ball has members (2081), whatever the data.
+No variant has more fingerprints than its ball has members (2081 for half a radius of 2), whatever the data.
 """
 
 from functools import lru_cache
@@ -65,6 +65,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {typed(docs, id_col)}, fp long")
 
 
+def half_of(radius: int) -> int:
+    """How far variants lie from a fingerprint, at most."""
+    return (radius + 1) // 2
+
+
 @lru_cache(maxsize=256)
 def _masks(bits: int, weight: int) -> np.ndarray:
     """All numbers of that many bits with at most weight of them set."""
@@ -89,7 +94,7 @@ class _Place:
 
     def slice(self, rows: np.ndarray, left: np.ndarray, prefix: int, bits: int) -> None:
         """Variants of rows with leading bits prefix: left flips remain for the other bits."""
-        half = self.radius // 2
+        half = half_of(self.radius)
         masks = {w: _masks(64 - bits, w) for w in set(left.tolist())}
         if sum(int((left == w).sum()) * len(m) for w, m in masks.items()) > SLICE and bits < 32 and len(rows) > 1:
             for bit in (0, 1):
@@ -161,7 +166,7 @@ def near_pairs(classes: DataFrame, radius: int = RADIUS, place_bits: int | None
 
     place_bits sets how many places there are; each gets a fingerprint at most once.
     """
-    half = radius // 2
+    half = half_of(radius)
     place_bits = place_bits or place_bits_for(classes.count(), half)
     masks = [int(m) for m in _masks(place_bits, half).tolist()]
     shift = 64 - place_bits
@@ -224,8 +229,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     texts without words have fingerprint 0 and link like any other. A repeated row counts as one more
     document. A null id never is a component's id unless all its ids are null. Empty in, empty out.
     """
-    prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("least"))
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    prints = written(fingerprints(own, "_id", "_text"), "fingerprints")
+    classes = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("least"))
     found = written(near_pairs(classes.select("fp", "n"), radius), "near")
     near = found.filter("other IS NULL").groupBy("fp").agg(F.sum("near").alias("near"))
     roots = components(found.filter("other IS NOT NULL"), "fp", "other").withColumnRenamed("node", "fp")
@@ -233,19 +239,24 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     component = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = linked.join(component, "root").select("fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(of_class, "fp").select(id_col, hexed.alias("fingerprint"), "n_near", "component_id")
+    return prints.join(of_class, "fp").select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), "n_near", "component_id")
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: the least id, of its rows the least text hash, once.
 
-    All columns stay as they are. Only keys go through the comparison; texts are shuffled once.
+    Null and empty texts are alike and leave one row. Null ids come last; rows equal in id and text leave
+    one, whichever, and the other columns are that row's. Empty in, empty out. All columns stay as they are,
+    whatever their names. Only keys go through the comparison; texts are shuffled once.
     """
-    keyed = docs.withColumn("__laconic_key", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
-    found = near_duplicates(keyed, radius, "__laconic_key", text_col)
-    kept = found.filter(F.col("__laconic_key") == F.col("component_id")).select("__laconic_key").distinct()
-    once = Window.partitionBy("__laconic_key").orderBy("__laconic_key")
-    return keyed.join(kept, "__laconic_key", "left_semi").withColumn("__laconic_row", F.row_number().over(once)).filter("__laconic_row = 1").select(*docs.columns)
+    column = lambda c: F.col(f"`{c}`")
+    key = F.struct(column(id_col).isNull().alias("none"), column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("h"))
+    keyed = docs.select(key.alias("key"), column(text_col).alias("text"), F.struct(*map(column, docs.columns)).alias("row"))
+    found = near_duplicates(keyed, radius, "key", "text")
+    kept = found.filter(F.col("key") == F.col("component_id")).select("key").distinct()
+    once = Window.partitionBy("key").orderBy("key")
+    one = keyed.select("key", "row").join(kept, "key", "left_semi").withColumn("place", F.row_number().over(once)).filter("place = 1")
+    return one.select("row.*")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

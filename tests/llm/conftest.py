@@ -21,7 +21,7 @@ def edge_rows():
 
 
 #: Names that operators use for their own columns.
-CLASHES = "fp part first n_tokens ids grp rid sig pair id host path rule verdict spans score lang_pred kept n_words __laconic_key row keep".split()
+CLASHES = "fp part first n_tokens ids grp rid sig pair id host path rule verdict spans score lang_pred kept n_words __laconic_key __laconic_row row keep key place text_ _id _text _state at reach shift words longest ratio log_mean lengths".split()
 
 
 @pytest.fixture(scope="session")
@@ -29,7 +29,7 @@ def edge_docs(spark, edge_rows):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(edge_rows, SCHEMA)
-    return df.select("*", *(F.lit("clash").alias(c) for c in CLASHES if c != "__laconic_key"))
+    return df.select("*", *(F.lit("clash").alias(c) for c in CLASHES))
 
 
 @pytest.fixture(scope="session")

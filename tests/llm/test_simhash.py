@@ -76,6 +76,22 @@ def test_pairs_of_random_balls(spark):
         assert sums == want
 
 
+def test_all_radii(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    fps = {int(b) for b in base}
+    for b in base.tolist():
+        for n in range(1, 8):
+            for _ in range(4):
+                fps.add(b ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)))
+    fps = np.array(sorted(fps), np.uint64)
+    rows = [(int(f), 1) for f in fps.view(np.int64)]
+    for radius in range(1, 7):
+        got = simhash.near_pairs(spark.createDataFrame(rows, "fp long, n long"), radius, 8).filter("other IS NULL").groupBy("fp").sum("near").collect()
+        near = (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius) & (fps[:, None] != fps[None, :])
+        assert dict(map(tuple, got)) == {int(f): int(n) for f, n in zip(fps.view(np.int64), near.sum(1)) if n}, radius
+
+
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100) for i in range(50)] + [(7, 7)]
     got = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()))
