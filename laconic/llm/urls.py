@@ -7,7 +7,8 @@ log-likelihoods a character reaches a threshold, calibrated on held-out labelled
 
 Labelled URLs are those that a rule fits. The models are fitted on a bounded sample of them: about
 SAMPLE_PER_CLASS of each verdict, drawn by a hash of the URL, copies once; a fifth calibrates. So
-their n-grams are bounded too, and are broadcast.
+their n-grams are bounded too, and are broadcast, as sorted arrays of hashes. Whole URLs are judged,
+scheme, query and fragment included, MOST_CHARS of them when fitting.
 """
 
 import numpy as np
@@ -19,8 +20,12 @@ from laconic.llm.common import table, typed
 
 #: (verdict, rule): a host, and a path from its first slash on.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Characters of a context; labelled URLs a verdict that are fitted on, about.
-ORDER, SAMPLE_PER_CLASS = 5, 10_000
+#: Characters of a context; labelled URLs a verdict that are fitted on, about; first characters of each that are.
+ORDER, SAMPLE_PER_CLASS, MOST_CHARS = 5, 10_000, 2_000
+#: Characters judged at a time, about.
+STEP_CHARS = 2_000_000
+BEGIN, END = "\x02", "\x03"
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _after_scheme(url: Column) -> Column:
@@ -49,40 +54,59 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
+def _laid(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of texts laid end to end, each with order begins and an end, and where each stops."""
+    forms = [BEGIN * order + x + END for x in texts]
+    codes = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    return codes, np.cumsum([len(x) for x in forms]).astype(np.int64)
+
+
+def _predicted(codes: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
+    """Positions of all characters but the begins."""
+    own = np.ones(len(codes), bool)
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
+    own[(starts[:, None] + np.arange(order)).ravel()] = False
+    return np.flatnonzero(own)
+
+
+def _hashed(codes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n characters before each position, and of these with the one there."""
+    h = np.zeros(len(at), np.uint64)
+    for k in range(n, 0, -1):
+        h = h * _FACTOR + codes[at - k]
+    return h, h * _FACTOR + codes[at]
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
 class Markov:
-    """Counts of next characters by context, with Witten-Bell mixing of shorter contexts."""
+    """Counts of next characters by context, with Witten-Bell mixing of shorter contexts; sorted hash arrays."""
 
     def __init__(self, texts: list[str], order: int):
-        self.order, self.next, self.total, self.kinds, self.memo = order, {}, {}, {}, {}
-        for text in texts:
-            text = "\x02" * order + text + "\x03"
-            for i in range(order, len(text)):
-                for n in range(order + 1):
-                    key = text[i - n : i + 1]
-                    seen = self.next.get(key, 0)
-                    self.next[key] = seen + 1
-                    context = key[:-1]
-                    self.total[context] = self.total.get(context, 0) + 1
-                    if not seen:
-                        self.kinds[context] = self.kinds.get(context, 0) + 1
-        self.letters = self.kinds.get("", 0) + 1
-
-    def log(self, gram: str) -> float:
-        """Log-probability of a gram's last character after the others."""
-        value = self.memo.get(gram)
-        if value is None:
-            p = 1.0 / self.letters
-            for n in range(len(gram)):
-                key = gram[len(gram) - 1 - n :]
-                total = self.total.get(key[:-1], 0)
-                if not total:
-                    break
-                kinds = self.kinds[key[:-1]]
-                p = (self.next.get(key, 0) + kinds * p) / (total + kinds)
-            value = float(np.log(p))
-            if len(self.memo) < 500_000:
-                self.memo[gram] = value
-        return value
+        self.order, self.levels = order, []
+        codes, ends = _laid(texts, order)
+        at = _predicted(codes, ends, order)
+        for n in range(order + 1):
+            context, gram = _hashed(codes, at, n)
+            keys, first, seen = np.unique(gram, return_index=True, return_counts=True)
+            contexts, total = np.unique(context, return_counts=True)
+            kinds = np.unique(context[first], return_counts=True)[1]
+            self.levels.append((keys, seen.astype(float), contexts, total.astype(float), kinds.astype(float)))
+        self.letters = len(self.levels[0][0]) + 1
+
+    def log(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log-probability of the character at each position after those before it."""
+        p = np.full(len(at), 1.0 / self.letters)
+        for n, (keys, seen, contexts, total, kinds) in enumerate(self.levels):
+            context, gram = _hashed(codes, at, n)
+            all_, different = _looked_up(contexts, total, context), _looked_up(contexts, kinds, context)
+            p = np.where(all_ > 0, (_looked_up(keys, seen, gram) + different * p) / np.maximum(all_ + different, 1), p)
+        return np.log(p)
 
 
 class Filter:
@@ -92,7 +116,7 @@ class Filter:
         (held_a, fit_a), (held_r, fit_r) = ((x[::5], [y for i, y in enumerate(x) if i % 5]) for x in (sorted(accepted), sorted(rejected)))
         self.accepted, self.rejected = Markov(fit_a, order), Markov(fit_r, order)
         self.threshold = 0.0
-        a, r = np.sort([self.ratio(x) for x in held_a]), np.sort([self.ratio(x) for x in held_r])
+        a, r = np.sort(self.ratios(held_a)), np.sort(self.ratios(held_r))
         if len(a) and len(r):
             cuts = np.unique(np.concatenate([a, r]))
             cuts = np.concatenate([[cuts[0]], (cuts[1:] + cuts[:-1]) / 2])
@@ -100,18 +124,26 @@ class Filter:
             best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
             self.threshold = float(cuts[best[len(best) // 2]])
 
-    def ratio(self, text: str) -> float:
-        """Log-likelihood as accepted less as rejected, a character."""
-        order = self.accepted.order
-        padded = "\x02" * order + text + "\x03"
-        grams = [padded[i - order : i + 1] for i in range(order, len(padded))]
-        return (sum(map(self.accepted.log, grams)) - sum(map(self.rejected.log, grams))) / len(grams)
+    def ratios(self, texts: list[str]) -> np.ndarray:
+        """Log-likelihood of each text as accepted less as rejected, a character."""
+        out, first, size = [np.zeros(0)], 0, 0
+        for k, x in enumerate(texts):
+            size += len(x)
+            if size >= STEP_CHARS or k + 1 == len(texts):
+                codes, ends = _laid(texts[first : k + 1], self.accepted.order)
+                at = _predicted(codes, ends, self.accepted.order)
+                total = np.concatenate([[0], np.cumsum(self.accepted.log(codes, at) - self.rejected.log(codes, at))])
+                bounds = np.searchsorted(at, np.concatenate([[0], ends]))
+                out.append((total[bounds[1:]] - total[bounds[:-1]]) / np.diff(bounds))
+                first, size = k + 1, 0
+        return np.concatenate(out)
 
 
 def train(ruled: DataFrame, per_class: int = SAMPLE_PER_CLASS, order: int = ORDER) -> Filter:
     """Fits the filter on rows (text, verdict), of which those with a verdict count."""
     ruled = ruled.filter("verdict IS NOT NULL")
     sizes = ruled.groupBy("verdict").count()
+    ruled = ruled.select("verdict", F.substring("text", 1, MOST_CHARS).alias("text"))
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     sample = ruled.join(F.broadcast(sizes), "verdict").filter(draw * F.col("count") < per_class).select("verdict", "text").distinct()
     own: dict[str, list[str]] = {"allow": [], "block": []}
@@ -123,24 +155,24 @@ def train(ruled: DataFrame, per_class: int = SAMPLE_PER_CLASS, order: int = ORDE
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Rows (id, host, path, rule, verdict, ratio), one for each row of pages.
 
-    A null URL and one without "://" have empty host and path, and the model judges the empty text.
-    Without labelled URLs of both verdicts the models know nothing or one side only; the verdict is
+    A null URL and one without "://" have empty host and path; the model judges the whole URL, null as
+    the empty text. Without labelled URLs of both verdicts the models know nothing or one side only; the verdict is
     still the sign of their difference, allow at zero. Other columns are ignored.
     """
-    parts = pages.select(id_col, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    parts = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.coalesce(F.col(url_col), F.lit("")).alias("text"))
     parts = parts.withColumn("_found", rule_of(F.col("host"), F.col("path"), rules))
-    fitted = train(parts.select(F.concat("host", "path").alias("text"), F.col("_found.verdict").alias("verdict")))
+    fitted = train(parts.select("text", F.col("_found.verdict").alias("verdict")))
     shared = pages.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches):
         for batch in batches:
             of = shared.value
             known = batch.column(4).to_pylist()
-            ratio = [of.ratio(h + p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            verdict = [k or ("allow" if r >= of.threshold else "block") for k, r in zip(known, ratio)]
+            ratio = of.ratios(batch.column(5).to_pylist())
+            verdict = [k or ("allow" if r >= of.threshold else "block") for k, r in zip(known, ratio.tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdict, pa.string()), pa.array(ratio)], names=[id_col, "host", "path", "rule", "verdict", "ratio"])
 
-    rows = parts.select(id_col, "host", "path", F.col("_found.rule").alias("rule"), F.col("_found.verdict").alias("known"))
+    rows = parts.select("_id", "host", "path", F.col("_found.rule").alias("rule"), F.col("_found.verdict").alias("known"), "text")
     return rows.mapInArrow(run, f"`{id_col}` {typed(pages, id_col)}, host string, path string, rule string, verdict string, ratio double")
 
 

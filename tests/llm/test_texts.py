@@ -177,7 +177,13 @@ def test_url_models_by_the_book():
         return rest if not follow else (follow.count(c) + len(set(follow)) * rest) / (len(follow) + len(set(follow)))
 
     for gram in ("aba", "abx", "\x02\x02a", "zzz", "ca\x03"):
-        assert m.log(gram) == pytest.approx(float(np.log(p(gram[:-1], gram[-1]))))
+        codes = np.array([ord(c) + 1 for c in gram], np.uint64)
+        assert m.log(codes, np.array([2]))[0] == pytest.approx(float(np.log(p(gram[:-1], gram[-1]))))
+    f = urls.Filter([], [])
+    f.accepted, f.rejected = m, urls.Markov(["zz"], 2)
+    asked = ["ab", "", "zzz"]
+    whole = [f.ratios([x])[0] for x in asked]
+    assert f.ratios(asked).tolist() == pytest.approx(whole) and whole[0] > 0 > whole[2]
 
 
 def test_url_verdicts_on_held_out():
@@ -185,7 +191,7 @@ def test_url_verdicts_on_held_out():
     good = [f"news{rng.randint(1, 99)}.com/story/{rng.randint(1, 10**6)}" for _ in range(300)]
     bad = [f"casino{rng.randint(1, 99)}.biz/win/{rng.randint(1, 10**6)}?x" for _ in range(300)]
     f = urls.Filter(good[:200], bad[:200])
-    assert all(f.ratio(x) >= f.threshold for x in good[200:]) and all(f.ratio(x) < f.threshold for x in bad[200:])
+    assert (f.ratios(good[200:]) >= f.threshold).all() and (f.ratios(bad[200:]) < f.threshold).all()
 
 
 # ---- benchmark leaks
@@ -201,35 +207,58 @@ def plain_leaks(docs, items):
         w = plain_words(text)
         n = min(10, len(w))
         for a in range(len(w) - n + 1 if n else 0):
-            windows.setdefault(tuple(w[a : a + n]), set()).add(str(item))
+            windows.setdefault(tuple(w[a : a + n]), set()).update([] if item is None else [str(item)])
     out = []
     for d, text, *_ in docs:
         words, hit, found = plain_words(text), set(), set()
         for n in {len(w) for w in windows}:
             for i in range(len(words) - n + 1):
-                if own := windows.get(tuple(words[i : i + n])):
+                if tuple(words[i : i + n]) in windows:
                     hit.update(range(i, i + n))
-                    found |= own
-        out.append((d, len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+                    found |= windows[tuple(words[i : i + n])]
+        longest = max(((n, -i) for i in range(len(words)) for n in plain_reach(words, i, items)), default=(0, None)) if hit else (0, None)
+        out.append((d, len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), longest[0], -longest[1] if hit else None))
     return out
 
 
+def plain_reach(words, i, items):
+    """Lengths of verbatim matches from a word on that are as long as a window of their item."""
+    for _, text in items:
+        w = plain_words(text)
+        for j in range(len(w)):
+            n = 0
+            while i + n < len(words) and j + n < len(w) and words[i + n] == w[j + n]:
+                n += 1
+            if n >= min(10, len(w)):
+                yield n
+
+
 def test_leaks_like_plain(spark, edge_docs, edge_rows, no_docs):
     rng = random.Random(6)
     vocabulary = "a b c d é".split()
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate([0, 1, 2, 9, 10, 11, 14, 30, 3])] + [(20, None), (3, "a-B!c"), (21, "a b a b a b a b a b a b a b")]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate([0, 1, 2, 9, 10, 11, 14, 30, 3])] + [(20, None), (3, "a-B!c"), (21, "a b a b a b a b a b a b a b"), (None, "zz a zz b zz a zz b zz a zz b"), (None, "zz zz zz")]
     docs = [(i, " ".join(rng.choice(vocabulary + ["zz"]) for _ in range(rng.choice([0, 5, 60, 150]))), None, None, None) for i in range(30)]
     docs += [(100 + i, "x " + (items[7][1]) + ". " + items[i][1], None, None, None) for i in range(5)] + [(5, None, None, None, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for size in (1, 40, 1 << 20):
-        blocks = decontaminate.query_blocks(bench, block_bytes=size)
-        assert size > 1000 or len(blocks) > 1
-    old, decontaminate.query_blocks.__defaults__ = decontaminate.query_blocks.__defaults__, ("item_id", "text", 10, 40)
-    try:
-        got = decontaminate.find_contamination(spark.createDataFrame(docs, SCHEMA), bench).drop("items").collect()
-    finally:
-        decontaminate.query_blocks.__defaults__ = old
-    assert sorted(map(tuple, got), key=key) == sorted(plain_leaks(docs, items), key=key)
+        passes = list(decontaminate.query_blocks(bench, block_bytes=size, pass_blocks=3))
+        assert (size > 1000) == (len(passes) == 1) and all(len(x) <= 3 for x in passes)
+    plain = sorted(plain_leaks(docs, items), key=key)
+    old = decontaminate.query_blocks.__defaults__
+    for size, at_once in ((1 << 20, 16), (40, 16), (40, 3)):
+        decontaminate.query_blocks.__defaults__ = ("item_id", "text", 10, size, at_once)
+        try:
+            got = decontaminate.find_contamination(spark.createDataFrame(docs, SCHEMA), bench).drop("items").collect()
+            left = decontaminate.drop_contaminated(spark.createDataFrame(docs, SCHEMA), bench).collect()
+            longest = decontaminate.longest_matches(spark.createDataFrame(docs, SCHEMA), bench).collect()
+        finally:
+            decontaminate.query_blocks.__defaults__ = old
+        assert sorted(map(tuple, got), key=key) == plain
+        assert sorted(r.doc_id for r in left) == sorted(r[0] for r in plain if not r[5])
+        most = {}
+        for r in longest:
+            most[r.doc_id] = max(most.get(r.doc_id, (0, 0)), (r.n_words, -r.doc_start))
+        assert most == {r[0]: (r[6], -r[7]) for r in plain if r[5]}
     few = items[4:8]
     got = decontaminate.find_contamination(edge_docs, spark.createDataFrame(few, "item_id long, text string")).drop("items").collect()
     assert sorted(map(tuple, got), key=key) == sorted(plain_leaks([r for r in edge_rows], few), key=key)
