@@ -1,10 +1,11 @@
 """Operator 7, packing: first-fit decreasing over a tournament tree, in random groups of documents.
 
-A document is cut at multiples of the sequence length; full pieces fill a sequence each and the
-rest goes to the first open sequence with room. Groups are drawn by a hash of row position, not of
-any value, so no hot key can swell one; a group's work is of the order of pieces times log pieces.
+A document is cut at multiples of the sequence length; full pieces fill a sequence each, past the
+tree, and the rest goes to the first open sequence with room. Groups are drawn by a hash of row position,
+not of any value, so no hot key can swell one; pieces are drawn one by one, so no long document can.
 """
 
+import math
 import zlib
 
 import numpy as np
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from laconic.llm.common import table, texts, typed
 from laconic.llm.tokens import encoder
 
-#: Documents of a group, about: padding is below half a sequence a group.
-GROUP_DOCS = 16_384
+#: Pieces of a group, about, at most: padding is below half a sequence a group.
+GROUP_PIECES = 16_384
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -57,8 +58,8 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, g
         of, end, row, part = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId()
         for batch in batches:
             at, start, length, crc, total, group = [], [], [], [], [], []
-            for k, text in enumerate(texts(batch.column(1))):
-                ids = memoryview(of.encode(text) + end)
+            for k, coded in enumerate(of.stream(texts(batch.column(1)))):
+                ids = memoryview(coded + end)
                 n = len(ids) // 4
                 for a in range(0, n, capacity):
                     b = min(a + capacity, n)
@@ -80,10 +81,14 @@ def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
     schema = f"`{id_col}` {typed(pieces, id_col)}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def run(group: pa.Table) -> pa.Table:
-        bins, offsets = first_fit_decreasing(group.column("length").to_pylist(), capacity)
-        base = group.column("grp")[0].as_py() << 32
-        kept = group.drop_columns(["grp"])
-        return kept.append_column("sequence_id", pa.array([base + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+        lengths = group.column("length").to_numpy()
+        rest, full = np.flatnonzero(lengths < capacity), np.flatnonzero(lengths == capacity)
+        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        if len(rest):
+            sequence[rest], offset[rest] = first_fit_decreasing(lengths[rest].tolist(), capacity)
+        sequence[full] = np.arange(len(full)) + (int(sequence.max()) + 1 if len(rest) else 0)
+        sequence += group.column("grp")[0].as_py() << 32
+        return group.drop_columns(["grp"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     return pieces.groupBy("grp").applyInArrow(run, schema)
 
@@ -94,7 +99,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
     Null text is empty: one end id. Repeated rows and null ids are packed like any other row; an
     empty table gives no pieces; other columns are ignored.
     """
-    groups = max(1, -(-docs.count() // GROUP_DOCS))
+    # a document has no more tokens than bytes and its end, so this many pieces at most
+    most = F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) / F.lit(float(capacity)) + 1
+    groups = max(1, math.ceil((docs.agg(F.sum(most)).first()[0] or 0) / GROUP_PIECES))
     return pack(cut_documents(docs, tokenizer, end_id, capacity, groups, id_col, text_col), capacity, id_col)
 
 
