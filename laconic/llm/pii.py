@@ -126,16 +126,15 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, n_email, n_ip, n_card, n_phone, base_sha256, spans, clean), one for each row of docs.
+    """Rows (id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one for each row of docs.
 
-    spans joins kind:start:end; base_sha256 digests the base kinds' spans joined likewise; clean is
-    the redacted text. Null and empty texts have no spans and an empty clean text. Other columns are
-    ignored, repeated rows each get a row.
+    spans joins kind:start:end; base_sha256 digests the base kinds' spans joined likewise. Null and
+    empty texts have no spans. Other columns are ignored, repeated rows each get a row.
     """
 
     def run(batches):
         for batch in batches:
-            counts, digests, joined, clean = [[] for _ in BASE], [], [], []
+            counts, digests, joined = [[] for _ in BASE], [], []
             for text in texts(batch.column(1)):
                 spans = find_spans(text)
                 base = [s for s in spans if s[0] in BASE]
@@ -143,10 +142,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     counts[k].append(sum(s[0] == kind for s in base))
                 digests.append(hashlib.sha256(",".join("%s:%d:%d" % s for s in base).encode()).hexdigest())
                 joined.append(",".join("%s:%d:%d" % s for s in spans))
-                clean.append(redacted(text, spans))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in counts), *(pa.array(x, pa.string()) for x in (digests, joined, clean))], names=[id_col, *(f"n_{k}" for k in BASE), "base_sha256", "spans", "clean"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in counts), *(pa.array(x, pa.string()) for x in (digests, joined))], names=[id_col, *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {typed(docs, id_col)}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, clean string")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {typed(docs, id_col)}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -171,4 +169,4 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars")
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: counts and digest of the base kinds, and all spans."""
-    return find_personal_data(table(spark, sf_dir, "documents")).drop("clean")
+    return find_personal_data(table(spark, sf_dir, "documents"))
