@@ -27,7 +27,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
     def run(batches):
         of, end, before, part = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId()
         for batch in batches:
-            coded = [of.encode(x) + end for x in texts(batch.column(1))]
+            coded = [x + end for x in of.stream(texts(batch.column(1)))]
             n = np.array([len(x) // 4 for x in coded], np.int64)
             at = np.concatenate([[0], np.cumsum(n)])
             ids = pa.Array.from_buffers(pa.int32(), int(at[-1]), [None, pa.py_buffer(b"".join(coded))])

@@ -7,34 +7,15 @@ for that, and any other file gets whole texts.
 
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Chunks, and pieces of chunks, that a worker remembers; at that number it starts afresh.
-CHUNKS, PIECES = 300_000, 250_000
+#: Chunks that a worker remembers, at which number it starts afresh; new chunks encoded at once; bytes of text handled at a time.
+CHUNKS, TOGETHER, STEP_BYTES = 300_000, 20_000, 1 << 20
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: The same rule for lower-case chunks of the characters in _PLAIN.
-_PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
-
-
-def _byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies write for each byte."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    other = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
-
-
-class _Memo(dict):
-    def __init__(self, make, most):
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
+_BLANKS = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
 
 
 class Encoder:
@@ -46,35 +27,52 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             form = json.load(f)
-        form["model"] = form["model"]["type"] if "type" in form["model"] else "BPE"
         cuts = form.get("pre_tokenizer") or {}
         cuts = cuts.get("pretokenizers", [cuts])
-        kinds = [x.get("type") for x in (form.get("normalizer") or {}).get("normalizers", [])]
-        by_words = cuts[0].get("pattern", {}).get("Regex") == _SPLIT and cuts[0].get("behavior") == "Removed"
-        byte_level = len(cuts) == 2 and cuts[1].get("type") == "ByteLevel" and not cuts[1].get("add_prefix_space")
-        added = [x["content"] for x in form.get("added_tokens", [])]
-        self.by_chunk = by_words and byte_level and kinds == ["NFC", "Replace", "Lowercase"] and not form.get("post_processor") and all(" " not in x and "\n" not in x for x in added)
-        self.specials = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self.letters = _byte_letters()
-        self.pieces = _Memo(self._piece, PIECES)
-        self.chunks = _Memo(self._chunk, CHUNKS)
-
-    def _piece(self, piece: str) -> bytes:
-        spelt = "".join([self.letters[b] for b in piece.encode()])
-        return np.array([x.id for x in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
+        by_words = cuts[0].get("pattern", {}).get("Regex") == _SPLIT and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert")
+        byte_level = len(cuts) == 2 and cuts[1].get("type") == "ByteLevel" and not cuts[1].get("add_prefix_space") and not cuts[1].get("use_regex")
+        normal = (form.get("normalizer") or {}).get("normalizers", []) == [{"type": "NFC"}, _BLANKS, {"type": "Lowercase"}]
+        added = form.get("added_tokens", [])
+        apart = all(not x["content"].split()[1:] and not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in added)
+        self.by_chunk = bool(by_words and byte_level and normal and apart and not form.get("post_processor"))
+        self.chunks: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        if _PLAIN.fullmatch(chunk) and not self.specials.search(chunk):
-            return b"".join(map(self.pieces.__getitem__, _PLAIN_SPLIT.findall(chunk.lower())))
-        return self._whole(chunk)
+    def _learn(self, chunks: list[str]) -> None:
+        """Encodes chunks as one text; a token belongs to the chunk in which it begins."""
+        coded = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
+        data, begins = np.array(coded.ids, "<u4").tobytes(), [a for a, _ in coded.offsets]
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
+        at = [0, *(4 * np.searchsorted(begins, ends)).tolist()]
+        self.chunks.update(zip(chunks, [data[a:b] for a, b in zip(at, at[1:])]))
 
-    def encode(self, text: str) -> bytes:
+    def encode_all(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
-            return self._whole(text)
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+            return list(map(self._whole, texts))
+        cut = [x.replace("\n", " ").split(" ") for x in texts]
+        new = set().union(*cut).difference(self.chunks)
+        if len(self.chunks) + len(new) > CHUNKS:
+            self.chunks.clear()
+            new = set().union(*cut)
+        new = list(new)
+        for k in range(0, len(new), TOGETHER):
+            self._learn(new[k : k + TOGETHER])
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, x)) for x in cut]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def stream(self, texts: list[str]) -> Iterator[bytes]:
+        """The texts' ids in order, some at a time."""
+        first = size = 0
+        for k, x in enumerate(texts):
+            size += len(x)
+            if size >= STEP_BYTES or k + 1 == len(texts):
+                yield from self.encode_all(texts[first : k + 1])
+                first, size = k + 1, 0
 
 
 _encoders: dict[str, Encoder] = {}
