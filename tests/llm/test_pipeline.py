@@ -8,7 +8,6 @@ import pytest
 import corpus_pipeline
 from laconic.llm import langid, pii
 from laconic.llm.common import table
-from laconic.llm.queries import ORACLES, QUERIES
 from tests.llm.test_simhash import plain_rows
 from tests.llm.test_texts import plain_leaks
 from tests.llm.test_tokens import crc, plain_ids
@@ -41,14 +40,3 @@ def test_pipeline_like_plain(spark, tokenizer):
 def test_stages_keep_the_columns(spark, edge_docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, edge_docs, SF).columns == edge_docs.columns
-
-
-def test_held_out_language(spark):
-    labels = {r.doc_id: r.lang for r in table(spark, SF, "documents").select("doc_id", "lang").collect()}
-    rows = [r for r in QUERIES["op6_language_id"](spark, SF).collect() if r.held_out]
-    assert sum(r.lang_pred == labels[r.doc_id] for r in rows) >= 0.95 * len(rows) > 0
-
-
-def test_every_query_runs(spark):
-    assert set(ORACLES) <= set(QUERIES)
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
