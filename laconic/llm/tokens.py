@@ -2,20 +2,49 @@
 
 A chunk between blanks is encoded once per worker and remembered. This is exact for tokenizers
 that cut at white space, drop it and normalise without looking over a blank; the file is checked
-for that, and any other file gets whole texts.
+for that, and any other file gets whole texts. Chunks of common letters are cut into pieces here and
+go straight to the tokenizer's model.
 """
 
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Chunks that a worker remembers, at which number it starts afresh; new chunks encoded at once; bytes of text handled at a time.
-CHUNKS, TOGETHER, STEP_BYTES = 300_000, 20_000, 1 << 20
+#: Chunks, and pieces of chunks, that a worker remembers, and as many from before that; bytes of text handled at a time.
+CHUNKS, PIECES, STEP_BYTES = 200_000, 120_000, 1 << 20
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BLANKS = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+#: The same rule for lower-case chunks of the characters in _PLAIN.
+_PLAIN_SPLIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[!-/:-@\[-`{-~]+")
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte, where it isn't the byte's own."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
+
+
+class _Memo(dict):
+    """What make gives for the keys met last: at most most of them, and those met before these."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Encoder:
@@ -34,33 +63,32 @@ class Encoder:
         normal = (form.get("normalizer") or {}).get("normalizers", []) == [{"type": "NFC"}, _BLANKS, {"type": "Lowercase"}]
         added = form.get("added_tokens", [])
         apart = all(not x["content"].split()[1:] and not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in added)
-        self.by_chunk = bool(by_words and byte_level and normal and apart and not form.get("post_processor"))
-        self.chunks: dict[str, bytes] = {}
+        self.by_chunk = bool(sys.byteorder == "little" and by_words and byte_level and normal and apart and not form.get("post_processor"))
+        self.specials = re.compile("|".join(re.escape(x["content"]) for x in added) or r"(?!)")
+        self.letters = _byte_letters()
+        self.letters_only = not any(x["content"].isalpha() for x in added)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.chunks, self.pieces = _Memo(self._chunk, CHUNKS), _Memo(self._piece, PIECES)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes chunks as one text; a token belongs to the chunk in which it begins."""
-        coded = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
-        data, begins = np.array(coded.ids, "<u4").tobytes(), [a for a, _ in coded.offsets]
-        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1)
-        at = [0, *(4 * np.searchsorted(begins, ends)).tolist()]
-        self.chunks.update(zip(chunks, [data[a:b] for a, b in zip(at, at[1:])]))
+    def _piece(self, piece: str) -> bytes:
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [x.id for x in self.tokenize(spelt)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isalpha() and self.letters_only:
+            return self.pieces[chunk.lower()]
+        if not _PLAIN.fullmatch(chunk) or self.specials.search(chunk):
+            return self._whole(chunk)
+        return b"".join(map(self.pieces.__getitem__, _PLAIN_SPLIT.findall(chunk.lower())))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return list(map(self._whole, texts))
-        cut = [x.replace("\n", " ").split(" ") for x in texts]
-        new = set().union(*cut).difference(self.chunks)
-        if len(self.chunks) + len(new) > CHUNKS:
-            self.chunks.clear()
-            new = set().union(*cut)
-        new = list(new)
-        for k in range(0, len(new), TOGETHER):
-            self._learn(new[k : k + TOGETHER])
         get = self.chunks.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        return [b"".join(map(get, x.replace("\n", " ").split(" "))) for x in texts]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
