@@ -4,7 +4,8 @@ Two fingerprints that differ in at most RADIUS bits share a variant that is at m
 rounded up, from each. So every distinct fingerprint has its ball of variants, variants are grouped, and
 fingerprints that meet in one are verified. What is shuffled are not the variants themselves: all
 variants of a fingerprint that go to the same place (equal leading bits) travel as one row, and are
-written out there. A place works through its variants in slices of bounded size.
+written out there. A place works through its variants in slices of bounded size, and one to which too
+many fingerprints would go, since theirs begin alike, is divided by further bits.
 
 A pair meets in several variants. It counts only at its canonical one: the smaller fingerprint with
 the lower half of the differing bits flipped. So no list of pairs is shuffled to remove repeats:
@@ -25,6 +26,8 @@ from laconic.llm.common import table, typed, utf8, written
 
 #: Largest number of differing bits of a link; words of a shingle; fingerprints sent to a place, about.
 RADIUS, SHINGLE, PLACE_ROWS = 4, 4, 250_000
+#: Fingerprints sent to a place, at most, and bits by which a fuller place is divided.
+MOST_ROWS, FURTHER = 1_000_000, 8
 #: Variants that a place holds at once, about.
 SLICE = 1 << 21
 
@@ -96,7 +99,7 @@ class _Place:
         """Variants of rows with leading bits prefix: left flips remain for the other bits."""
         half = half_of(self.radius)
         masks = {w: _masks(64 - bits, w) for w in set(left.tolist())}
-        if sum(int((left == w).sum()) * len(m) for w, m in masks.items()) > SLICE and bits < 32 and len(rows) > 1:
+        if sum(int((left == w).sum()) * len(m) for w, m in masks.items()) > SLICE and bits < 62 and len(rows) > 1:
             for bit in (0, 1):
                 own = (self.fps[rows] >> np.uint64(63 - bits)) & np.uint64(1)
                 rest = left - (own != bit)
@@ -105,6 +108,7 @@ class _Place:
                     self.slice(rows[keep], rest[keep], (prefix << 1) | bit, bits + 1)
             return
         low = np.uint64((1 << (64 - bits)) - 1)
+        prefix &= (1 << 64) - 1
         variants, owners = [], []
         for w, m in masks.items():
             own = rows[left == w]
@@ -121,7 +125,7 @@ class _Place:
         ordered, owner = ordered[keep], owner[order][keep]
         begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         size = np.diff(np.append(begin, len(ordered)))
-        top = np.uint64(prefix) << np.uint64(64 - bits) if bits else np.uint64(0)
+        top = np.uint64((prefix << (64 - bits)) & ((1 << 64) - 1))
         for k in np.unique(size).tolist():
             at = begin[size == k]
             step = max(1, SLICE // (k * k))
@@ -161,24 +165,46 @@ def place_bits_for(classes: int, half: int) -> int:
     return bits
 
 
-def near_pairs(classes: DataFrame, radius: int = RADIUS, place_bits: int | None = None) -> DataFrame:
+def _placed(classes: DataFrame, half: int, bits: int, most: int) -> DataFrame:
+    """Rows (fp, n, place, bits, flips): each fingerprint at every place where it has a variant, and how many
+    flips remain. Places have at most most rows, unless they are a single variant."""
+
+    def spread(rows: DataFrame, at: int, more: int) -> DataFrame:
+        """rows at their places of at bits, divided by more bits."""
+        masks = _masks(more, half)
+        options = F.array(*(F.struct(F.lit(int(m)).cast("long").alias("m"), F.lit(int(m).bit_count()).alias("w")) for m in masks))
+        own = F.shiftrightunsigned(F.shiftleft("fp", at), 64 - more)
+        sent = rows.withColumn("_o", F.explode(F.filter(options, lambda o: o["w"] <= F.col("flips"))))
+        place = F.shiftleft("place", more).bitwiseOR(own.bitwiseXOR(F.col("_o.m")))
+        return sent.select("fp", "n", place.alias("place"), F.lit(at + more).alias("bits"), (F.col("flips") - F.col("_o.w")).alias("flips"))
+
+    start = classes.select("fp", "n", F.lit(0).cast("long").alias("place"), F.lit(half).alias("flips"))
+    rows, done = spread(start, 0, bits), None
+    while bits < 64:
+        # as many as there are rows by most, whatever the data
+        full = [r["place"] for r in rows.groupBy("place").count().filter(F.col("count") > most).select("place").toLocalIterator()]
+        if not full:
+            break
+        full = F.broadcast(classes.sparkSession.createDataFrame([(x,) for x in full], "place long"))
+        kept, more = rows.join(full, "place", "left_anti"), min(FURTHER, 64 - bits)
+        done = kept if done is None else done.unionByName(kept)
+        rows, bits = spread(rows.join(full, "place", "left_semi"), bits, more), bits + more
+    return rows if done is None else done.unionByName(rows)
+
+
+def near_pairs(classes: DataFrame, radius: int = RADIUS, place_bits: int | None = None, most: int = MOST_ROWS) -> DataFrame:
     """Rows (fp, near, other) from distinct (fp, n): partial sums of neighbours (other null), or forest edges (near 0).
 
-    place_bits sets how many places there are; each gets a fingerprint at most once.
+    place_bits sets how many places there are at first; each gets a fingerprint at most once.
     """
     half = half_of(radius)
-    place_bits = place_bits or place_bits_for(classes.count(), half)
-    masks = [int(m) for m in _masks(place_bits, half).tolist()]
-    shift = 64 - place_bits
-    home = F.shiftrightunsigned("fp", shift)
-    sent = classes.select("fp", "n", F.explode(F.array(*[home.bitwiseXOR(F.lit(m).cast("long")) for m in masks])).alias("place"))
+    sent = _placed(classes, half, place_bits or place_bits_for(classes.count(), half), most)
 
     def run(place, group):
         fps = group.column("fp").to_numpy().view(np.uint64)
-        at = place[0].as_py()
+        at, bits = place[0].as_py() & (1 << 64) - 1, place[1].as_py()
         of = _Place(fps, group.column("n").to_numpy(), radius)
-        left = half - np.bitwise_count((fps >> np.uint64(shift)) ^ np.uint64(at)).astype(np.int64)
-        of.slice(np.arange(len(fps)), left, at, place_bits)
+        of.slice(np.arange(len(fps)), group.column("flips").to_numpy().astype(np.int64), at, bits)
         signed = fps.view(np.int64)
         some = np.flatnonzero(of.near)
         a, b = (np.array([e[k] for e in of.edges], np.int64) for k in (0, 1))
@@ -190,7 +216,7 @@ def near_pairs(classes: DataFrame, radius: int = RADIUS, place_bits: int | None
             }
         )
 
-    return sent.groupBy("place").applyInArrow(run, "fp long, near long, other long")
+    return sent.groupBy("place", "bits").applyInArrow(run, "fp long, near long, other long")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
