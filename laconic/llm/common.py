@@ -69,6 +69,13 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches in slices of so many rows, so that no more texts than these are Python objects at once."""
+    for batch in batches:
+        for k in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(k, rows)
+
+
 def crc_mod(column, n: int):
     """crc32 of a value's text, modulo n; null for null."""
     return F.crc32(column.cast("string").cast("binary")) % n

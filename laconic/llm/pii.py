@@ -11,7 +11,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from laconic.llm.common import table, texts, typed
+from laconic.llm.common import sliced, table, texts, typed
 
 #: Score that a further span needs; code points before and after a span in which context counts.
 THRESHOLD, NEAR = 0.6, 40
@@ -133,7 +133,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             counts, digests, joined = [[] for _ in BASE], [], []
             for text in texts(batch.column(1)):
                 spans = find_spans(text)
@@ -155,7 +155,7 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars")
     at, count = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else None
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             columns = list(batch.columns)
             clean = [None if x is None else redacted(x, find_spans(x)) for x in columns[at].to_pylist()]
             if count is not None:
