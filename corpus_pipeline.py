@@ -1,4 +1,8 @@
-"""The training-data pipeline: five stages, each written as Parquet and read by the next."""
+"""The training-data pipeline: five stages, each written as Parquet and read by the next.
+
+All stages but the last return the columns of documents as they are; extra columns of any name stay too.
+Empty in, empty out. Repeated rows and null ids are rows like any other until near_duplicates.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -7,27 +11,27 @@ from laconic.llm.common import table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, or of which no language has half of the letters."""
+    """Drops documents without a letter, null and empty texts among them, or of which no language has half of the letters."""
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least document of each near-duplicate group."""
+    """Keeps the least document of each near-duplicate group: repeated rows leave one, and so do all texts without words."""
     return simhash.deduplicate(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
+    """Drops documents that hold a passage of the benchmark; null and empty texts stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts by its kind."""
+    """Replaces personal data in the texts by its kind, and counts n_chars anew; null texts stay null."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences: a row a piece."""
+    """Packs what is left into sequences: a row a piece; a null or empty text is its end id alone."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
