@@ -1,13 +1,14 @@
 """python -m laconic compress PATH [-o FILE] [--stats] ... | stats PATH"""
 
 import argparse
+import contextlib
 import sys
 
 from pyspark.sql import SparkSession
 
 from laconic.config import Settings
 from laconic.plans.compression import STAGES, compress, summary
-from laconic.sources import joined_text, load_files
+from laconic.sources import joined_parts, load_files
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -27,18 +28,20 @@ def main(argv: list[str] | None = None) -> int:
         target_files=tuple(given.target), include_codebook=not given.no_codebook, min_pattern_length=given.min_pattern_length,
         min_pattern_frequency=given.min_pattern_freq, stages=STAGES[1:] if given.no_comments else STAGES,
     )
-    files = load_files(spark, given.path).filter("status = 'read'")
+    loaded = load_files(spark, given.path)
+    for r in loaded.filter("status <> 'read'").select("filename", "status").toLocalIterator():
+        print(f"{r['filename']}: {r['status']}", file=sys.stderr)
+    files = loaded.filter("status = 'read'")
     if files.isEmpty():
         print(f"nothing to compress in {given.path}", file=sys.stderr)
         return 1
     done = compress(files, settings)
     if given.command == "compress":
-        text = joined_text(done.files).first()["text"]
-        if given.output:
-            with open(given.output, "w", encoding="utf-8") as f:
-                f.write(text)
-        else:
-            print(text)
+        with open(given.output, "w", encoding="utf-8") if given.output else contextlib.nullcontext(sys.stdout) as out:
+            for k, r in enumerate(joined_parts(done.files).orderBy("filename").toLocalIterator()):
+                out.write("\n" * (k > 0) + r["part"])
+            if not given.output:
+                out.write("\n")
     if given.stats or given.command == "stats":
         print(summary(done.stats.first()), file=sys.stderr if given.command == "compress" else sys.stdout)
     if given.command == "stats":

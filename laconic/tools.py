@@ -8,6 +8,7 @@ import time
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from laconic.config import TOOL_SETTINGS
 from laconic.plans.compression import compress
@@ -24,7 +25,6 @@ class Session:
         self.spark, self.settings, self.events = spark, settings, []
 
     def _run(self, files, target: str | None, shorten: bool, stages: bool) -> str:
-        files = files.filter("status = 'read'")
         home = os.path.expanduser("~")
         done = compress(files, replace(self.settings, target_files=(target,) if target else ()))
         rows, stats = done.files.orderBy("filename").collect(), done.stats.collect()
@@ -43,17 +43,26 @@ class Session:
         return "\n".join(parts)
 
     def read_compressed(self, paths: list[str], target: str | None = None) -> str:
-        """Files and folders, compressed together; target stays as it is."""
-        files = load_files(self.spark, *map(os.path.abspath, paths))
-        from pyspark.sql import functions as F
-
-        full = F.when(F.endswith("corpus_id", F.concat(F.lit("/"), "filename")), F.col("corpus_id")).otherwise(F.concat("corpus_id", F.lit("/"), "filename"))
-        order = F.xxhash64("corpus_id", "filename")
-        return self._run(files.withColumn("filename", full).withColumn("file_idx", order).withColumn("corpus_id", F.lit("paths")), os.path.abspath(target) if target else None, True, False)
+        """Files and folders, compressed together in the order given; target stays as it is.
+
+        What isn't there or can't be read has a line that says so in place of its text.
+        """
+        named = [os.path.abspath(os.path.expanduser(p)) for p in paths]
+        files = load_files(self.spark, *named)
+        whole = F.col("corpus_id").isin(*(p for p in named if not os.path.isdir(p)))
+        full = F.when(whole, F.col("corpus_id")).otherwise(F.concat("corpus_id", F.lit("/"), "filename"))
+        order = F.shiftleft(F.array_position(F.array(*map(F.lit, named)), F.col("corpus_id")).cast("long"), 48) + F.col("file_idx")
+        said = F.when(F.col("status") == "missing", F.concat(F.lit("[not found: "), full, F.lit("]"))).otherwise(F.concat(F.lit("["), F.col("status"), F.lit("]")))
+        text = F.when(F.col("status") == "read", F.col("content")).otherwise(said)
+        rows = files.select(F.lit("paths").alias("corpus_id"), order.alias("file_idx"), full.alias("filename"), text.alias("content"))
+        return self._run(rows, os.path.abspath(os.path.expanduser(target)) if target else None, True, False)
 
     def compress_context(self, folder: str, extensions: list[str] | None = None, target: str | None = None) -> str:
         """A folder's files with the given suffixes."""
-        return self._run(with_extensions(load_files(self.spark, folder), extensions or []), target, False, True)
+        folder = os.path.abspath(os.path.expanduser(folder))
+        if not os.path.isdir(folder):
+            return f"[not a folder: {folder}]"
+        return self._run(with_extensions(load_files(self.spark, folder).filter("status = 'read'"), extensions or []), target, False, True)
 
     def session_savings(self) -> str:
         from datetime import datetime, timezone
