@@ -65,12 +65,12 @@ def approx_tokens(x: Column) -> Column:
     return F.regexp_count(x, F.lit(r"[\p{L}\p{N}]{1,4}|[^\p{L}\p{N}\s]")).cast("long")
 
 
-def count_tokens(ranks_path: str | None, pattern: str | None = None):
-    """A function of text to its number of tokens, by a tiktoken ranks file; null without the library or file."""
-    import pandas as pd
+_coders: dict = {}
 
-    @F.pandas_udf("long")
-    def count(x: pd.Series) -> pd.Series:
+
+def _coder(ranks_path: str | None, pattern: str | None):
+    """The worker's coder of a ranks file, kept for the batches that follow; None without the library or file."""
+    if (ranks_path, pattern) not in _coders:
         try:
             import base64
 
@@ -78,8 +78,21 @@ def count_tokens(ranks_path: str | None, pattern: str | None = None):
 
             with open(ranks_path or "", "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            coder = tiktoken.Encoding("own", pat_str=pattern or r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+|\s+", mergeable_ranks=ranks, special_tokens={})
+            found = tiktoken.Encoding("own", pat_str=pattern or r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+|\s+", mergeable_ranks=ranks, special_tokens={})
         except (ImportError, OSError):
+            found = None
+        _coders[ranks_path, pattern] = found
+    return _coders[ranks_path, pattern]
+
+
+def count_tokens(ranks_path: str | None, pattern: str | None = None):
+    """A function of text to its number of tokens, by a tiktoken ranks file; null without the library or file."""
+    import pandas as pd
+
+    @F.pandas_udf("long")
+    def count(x: pd.Series) -> pd.Series:
+        coder = _coder(ranks_path, pattern)
+        if coder is None:
             return pd.Series([None] * len(x), dtype="Int64")
         return x.map(lambda t: None if t is None else len(coder.encode_ordinary(t))).astype("Int64")
 

@@ -12,7 +12,7 @@ from laconic.functions.languages import admitted, detect_language, parsed_langua
 from laconic.operators import blocks, codebook, comments, patterns, rle, similarity, syntax, whitespace
 from laconic.plans import compression, session
 from laconic.plans.lineage import checkpointed
-from laconic.sources import joined_text, with_extensions
+from laconic.sources import joined_parts, with_extensions
 
 OWN = Settings()
 QUERIES: dict = {}
@@ -63,11 +63,12 @@ _SUFFIXES = (".py", ".tsx", ".kts", ".scss", ".htm", ".mjs", ".sql", ".yml", ".P
 
 
 @_query("""
-WITH n AS (SELECT doc_id, 'f' || doc_id || (CASE doc_id % 10 WHEN 0 THEN '.py' WHEN 1 THEN '.tsx' WHEN 2 THEN '.kts' WHEN 3 THEN '.scss' WHEN 4 THEN '.htm' WHEN 5 THEN '.mjs' WHEN 6 THEN '.sql' WHEN 7 THEN '.yml' WHEN 8 THEN '.PY' ELSE '' END) AS filename FROM documents)
-SELECT doc_id, filename, CASE doc_id % 10 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'kotlin' WHEN 3 THEN 'css' WHEN 4 THEN 'html' WHEN 7 THEN 'yaml' END AS comment_language,
-  CASE doc_id % 10 WHEN 0 THEN 'python' WHEN 1 THEN 'tsx' WHEN 5 THEN 'javascript' END AS tree_language FROM n""")
+WITH n AS (SELECT doc_id, length(text) % 10 AS k, lower(regexp_extract(text, '[A-Za-z]+')) || (CASE length(text) % 10 WHEN 0 THEN '.py' WHEN 1 THEN '.tsx' WHEN 2 THEN '.kts' WHEN 3 THEN '.scss' WHEN 4 THEN '.htm' WHEN 5 THEN '.mjs' WHEN 6 THEN '.sql' WHEN 7 THEN '.yml' WHEN 8 THEN '.PY' ELSE '' END) AS filename FROM documents)
+SELECT doc_id, filename, CASE k WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'kotlin' WHEN 3 THEN 'css' WHEN 4 THEN 'html' WHEN 7 THEN 'yaml' END AS comment_language,
+  CASE k WHEN 0 THEN 'python' WHEN 1 THEN 'tsx' WHEN 5 THEN 'javascript' END AS tree_language FROM n""")
 def detect_languages(spark, d):
-    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.col("doc_id") % 10 + 1).cast("int")))
+    """Languages of files named by each text's first word, with a suffix by its length."""
+    name = F.concat(F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)), F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.length("text") % 10 + 1).cast("int")))
     return _table(spark, d, "documents").select("doc_id", name.alias("filename"), detect_language(name).alias("comment_language"), parsed_language(name).alias("tree_language"))
 
 
@@ -96,17 +97,40 @@ def strip_hash(spark, d):
     return _table(spark, d, "documents").select("doc_id", comments.strip_hashes(F.col("text"), OWN).alias("stripped"))
 
 
-@_query("""SELECT doc_id, 'a = "// no"; ' || chr(10) || '/* License ' || doc_id || ' */b = 1;' || chr(10) || 'c' AS stripped FROM documents""")
+_TOKENS = r"""'"(?:[^"\\]|\\[\s\S])*(?:"|\\?\z)|''(?:[^''\\]|\\[\s\S])*(?:''|\\?\z)|`(?:[^`\\]|\\[\s\S])*(?:`|\\?\z)|//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|[^"''`/]+|/'"""
+
+
+@_query(rf"""
+SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, {_TOKENS}),
+  lambda t: CASE WHEN (starts_with(t, '//') OR starts_with(t, '/*')) AND NOT {_KEEP.format('t')} THEN '' ELSE t END), '') AS stripped FROM pages""")
 def strip_c_style(spark, d):
-    n = F.col("doc_id").cast("string")
-    source = F.concat(F.lit('a = "// no"; // gone '), n, F.lit("\n/* License "), n, F.lit(" */b = 1;/* gone\n "), n, F.lit(" */\nc"))
-    return _table(spark, d, "documents").select("doc_id", comments.strip_slashes(source, OWN).alias("stripped"))
+    """Whole pages, with their strings, URLs and scripts, as sources in the style of C."""
+    return _table(spark, d, "pages").select("page_id", comments.strip_slashes(F.col("html"), OWN).alias("stripped"))
+
+
+@_query(rf"""
+SELECT page_id, CASE page_id % 3
+  WHEN 0 THEN list_reduce(list_filter(regexp_extract_all(html, '<!--[\s\S]*?-->'), lambda c: NOT {_KEEP.format('c')}), lambda acc, c: replace(acc, c, ''), html)
+  WHEN 1 THEN array_to_string(list_transform(regexp_extract_all(html, {_TOKENS}), lambda t: CASE WHEN (starts_with(t, '//') OR starts_with(t, '/*')) AND NOT {_KEEP.format('t')} THEN '' ELSE t END), '')
+  ELSE html END AS stripped FROM pages""")
+def comment_dispatch(spark, d):
+    """Whole pages under names of three kinds: each has its own rules, or none."""
+    name = F.concat(F.lit("page"), F.element_at(F.array(F.lit(".html"), F.lit(".js"), F.lit(".txt")), (F.col("page_id") % 3 + 1).cast("int")))
+    return _table(spark, d, "pages").select("page_id", comments.strip_comments(F.col("html"), name, OWN, F.col("html")).alias("stripped"))
+
 
+_FLAT = r"""rtrim(regexp_replace(text, '[^\pL\pN ,.#]', ' ', 'g'), ' ')"""
 
-@_query("""SELECT doc_id, 'x = ' || doc_id || chr(10) || 'def f():' || chr(10) || '    # TODO ' || doc_id || chr(10) || '    return "#"' AS stripped FROM documents""")
+
+@_query(rf'''
+WITH t AS (SELECT doc_id, {_FLAT} AS t FROM documents)
+SELECT doc_id, CASE WHEN {_KEEP.format('t')} THEN '# ' || t || chr(10) ELSE '' END || 'x = "' || t || '"' || CASE WHEN {_KEEP.format('t')} THEN '  # ' || t ELSE '' END
+  || chr(10) || 'def f():' || chr(10) || CASE WHEN {_KEEP.format('t')} THEN '    """' || t || '"""' || chr(10) ELSE '' END || '    return 1' AS stripped FROM t
+''')
 def strip_python(spark, d):
-    n = F.col("doc_id").cast("string")
-    source = F.concat(F.lit("# gone\nx = "), n, F.lit('  # gone\ndef f():\n    """Gone."""\n    # TODO '), n, F.lit('\n    return "#"'))
+    """Python sources in which each whole text is a comment, a string, a comment behind code and a docstring."""
+    t = F.rtrim(F.regexp_replace("text", r"[^\p{L}\p{N} ,.#]", " "))
+    source = F.concat(F.lit("# "), t, F.lit('\nx = "'), t, F.lit('"  # '), t, F.lit('\ndef f():\n    """'), t, F.lit('"""\n    return 1'))
     return _table(spark, d, "documents").select("doc_id", comments.strip_python(source, OWN).alias("stripped"))
 
 
@@ -252,14 +276,16 @@ def import_blocks(spark, d):
 
 
 @_query("""
+WITH t AS (SELECT source AS corpus_id, coalesce(lang, 'none') AS lang, regexp_extract(text, '[A-Za-z]+') AS w FROM documents)
 SELECT corpus_id, pattern, count(*) AS count, sum(length(pattern) - 5)::BIGINT - (length(pattern) - 5) AS score FROM
-(SELECT source AS corpus_id, unnest(['import os' || chr(10) || 'import sys' || chr(10) || 'import m' || (doc_id % 3), 'def function_' || (doc_id % 3) || '(value):' || chr(10) || '    return value + ' || (doc_id % 3)]) AS pattern FROM documents)
+(SELECT corpus_id, unnest(['import os' || chr(10) || 'import sys' || chr(10) || 'import lang_' || lang, 'def function_' || lower(w) || '(value):' || chr(10) || '    return value + "' || w || '"']) AS pattern FROM t)
 WHERE length(pattern) >= 30 GROUP BY corpus_id, pattern HAVING count(*) >= 3""")
 def syntax_patterns(spark, d):
-    """Python sources made from doc_id: import blocks and bodies, grouped over each source."""
-    k = (F.col("file_idx") % 3).cast("string")
-    source = F.concat(F.lit("import os\nimport sys\nimport m"), k, F.lit("\n\ndef function_"), k, F.lit("(value):\n    return value + "), k)
-    found = syntax.extract_patterns(corpora(spark, d, ".py").withColumn("content", source))
+    """Python sources about each text's language and first word: import blocks and bodies, grouped over each source."""
+    lang = _table(spark, d, "documents").select(F.col("doc_id").alias("file_idx"), F.coalesce("lang", F.lit("none")).alias("lang"))
+    word = F.regexp_extract("content", "[A-Za-z]+", 0)
+    source = F.concat(F.lit("import os\nimport sys\nimport lang_"), F.col("lang"), F.lit("\n\ndef function_"), F.lower(word), F.lit('(value):\n    return value + "'), word, F.lit('"'))
+    found = syntax.extract_patterns(corpora(spark, d, ".py").join(lang, "file_idx").withColumn("content", source), "content")
     return patterns.group_patterns(found, 30, 3).withColumn("score", F.col("score").cast("long"))
 
 
@@ -278,10 +304,22 @@ def shared_blocks(spark, d):
     return found.select("corpus_id", "h", F.col("n").cast("long").alias("n"), "ref_file_idx", F.col("ref_start").cast("long").alias("ref_start"), F.col("chars").cast("long").alias("chars"))
 
 
-@_query()
+@_query(f"""
+WITH RECURSIVE {_BLOCKS},
+c AS (SELECT w.corpus_id, w.file_idx, w.i, w.n, s.ref_file_idx, s.ref_start, row_number() OVER (PARTITION BY w.corpus_id, w.file_idx ORDER BY s.chars DESC, s.ref_file_idx, w.n DESC, s.ref_start, w.i) AS k
+  FROM w JOIN s ON w.corpus_id = s.corpus_id AND w.h = s.h WHERE s.chars >= 30 AND w.filled >= 3 AND w.file_idx <> s.ref_file_idx),
+r(corpus_id, file_idx, k, taken) AS (SELECT DISTINCT corpus_id, file_idx, 0::BIGINT, []::STRUCT(i BIGINT, n BIGINT, f BIGINT, s BIGINT)[] FROM c
+  UNION ALL SELECT r.corpus_id, r.file_idx, r.k + 1, CASE WHEN len(list_filter(taken, lambda e: e.i < c.i + c.n AND c.i < e.i + e.n)) = 0
+    THEN list_append(taken, {{'i': c.i, 'n': c.n, 'f': c.ref_file_idx, 's': c.ref_start}}) ELSE taken END
+  FROM r JOIN c ON c.corpus_id = r.corpus_id AND c.file_idx = r.file_idx AND c.k = r.k + 1),
+packed AS (SELECT corpus_id, file_idx, unnest(max_by(taken, k)) AS e FROM r GROUP BY corpus_id, file_idx),
+cover AS (SELECT corpus_id, file_idx, e, unnest(range(e.i, e.i + e.n)) AS k FROM packed),
+one AS (SELECT corpus_id, file_idx, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS k FROM lines)
+SELECT one.corpus_id, one.file_idx, string_agg(CASE WHEN e IS NULL THEN line WHEN one.k = e.i THEN '[same as doc' || e.f || '.txt:' || (e.s + 1) || '-' || (e.s + e.n) || ']' END, chr(10) ORDER BY one.k) AS deduped
+FROM one LEFT JOIN cover ON one.corpus_id = cover.corpus_id AND one.file_idx = cover.file_idx AND one.k = cover.k GROUP BY one.corpus_id, one.file_idx""")
 def dedup_pack(spark, d):
     """Texts with shared blocks as notes."""
-    return blocks.dedup_blocks(corpora(spark, d), 3, 20, 30).select("corpus_id", "file_idx", "deduped")
+    return blocks.dedup_blocks(corpora(spark, d), 3, 20, 30, checkpointed).select("corpus_id", "file_idx", "deduped")
 
 
 @_query(f"WITH {_FILES} SELECT a.corpus_id, a.file_idx AS i, b.file_idx AS j FROM files a JOIN files b ON a.corpus_id = b.corpus_id AND a.file_idx < b.file_idx WHERE length(a.content) + length(b.content) = 0 OR 2.0 * least(length(a.content), length(b.content)) >= 0.8 * (length(a.content) + length(b.content))")
@@ -308,6 +346,13 @@ def delta_encode(spark, d):
     return similarity.encode_deltas(corpora(spark, d), 0.8, checkpointed).select("corpus_id", "file_idx", "encoded")
 
 
+@_query(f"""WITH {_FILES}, k AS (SELECT *, min(file_idx) OVER (PARTITION BY corpus_id, content) AS i FROM files)
+SELECT corpus_id, file_idx, CASE WHEN i < file_idx THEN '[identical to doc' || i || '.txt]' ELSE content END AS encoded FROM k""")
+def delta_identical(spark, d):
+    """Deltas at a threshold of one: copies name the first of them."""
+    return similarity.encode_deltas(corpora(spark, d), 1.0, checkpointed).select("corpus_id", "file_idx", "encoded")
+
+
 # ---- guard, savings and sessions
 
 
@@ -331,6 +376,18 @@ def corpus_stats(spark, d):
     return stats.select("corpus_id", "original_chars", "compressed_chars", F.col("stage_savings")["comment_stripper"].alias("saved"), F.round("char_savings_pct", 6).alias("char_savings_pct"))
 
 
+@_query(f"""WITH p AS (SELECT source AS corpus_id, {_PADDED} AS s0, {_NORMAL.format(_PADDED)} AS s1 FROM documents)
+SELECT corpus_id, 'whitespace_normalizer' AS stage, (sum(length(s0)) - sum(length(s1)))::BIGINT AS saved FROM p GROUP BY corpus_id HAVING sum(length(s0)) > sum(length(s1))""")
+def nonzero_stages(spark, d):
+    """Stages that saved something, where whitespace is the only one that can."""
+    rows = _table(spark, d, "documents").select(F.col("source").alias("corpus_id"), _padded().alias("s0")).withColumn("s1", F.col("s0"))
+    rows = rows.withColumn("s2", whitespace.normalize_whitespace(F.col("s0")))
+    for k in range(3, 6):
+        rows = rows.withColumn(f"s{k}", F.col("s2"))
+    stats = compression.positive_savings(compression.corpus_stats(rows.withColumn("final", F.col("s5"))))
+    return stats.select("corpus_id", F.explode("stage_savings").alias("stage", "saved"))
+
+
 def _events(spark, d):
     turns = _table(spark, d, "conversations")
     size = F.length("text").cast("long")
@@ -356,10 +413,10 @@ def session_running(spark, d):
     return session.event_lines(numbered).select("conv_id", "event_no", "running_original_tokens", "running_compressed_tokens", "line")
 
 
-@_query(f"WITH {_FILES} SELECT corpus_id, md5(string_agg(CASE WHEN n > 1 THEN '--- ' || filename || ' ---' || chr(10) || content ELSE content END, chr(10) ORDER BY filename)) AS text_md5 FROM (SELECT *, count(*) OVER (PARTITION BY corpus_id) AS n FROM files) GROUP BY corpus_id")
+@_query(f"WITH {_FILES} SELECT corpus_id, filename, md5(CASE WHEN n > 1 THEN '--- ' || filename || ' ---' || chr(10) || content ELSE content END) AS part_md5 FROM (SELECT *, count(*) OVER (PARTITION BY corpus_id) AS n FROM files)")
 def concat_sink(spark, d):
-    """What the concatenating sink writes for each source, as a digest."""
-    return joined_text(corpora(spark, d), "content").select("corpus_id", F.md5("text").alias("text_md5"))
+    """What the concatenating sink writes of each file, as a digest."""
+    return joined_parts(corpora(spark, d), "content").select("corpus_id", "filename", F.md5("part").alias("part_md5"))
 
 
 @_query(f"WITH {_FILES} SELECT corpus_id, file_idx FROM files WHERE ends_with(filename, '7.txt') OR ends_with(filename, '9.txt')")
@@ -369,15 +426,45 @@ def extension_filter(spark, d):
 
 @_query(f"WITH {_FILES} SELECT corpus_id, file_idx, file_idx IN (SELECT doc_id FROM labels WHERE toxic = 1) AS is_target FROM files")
 def target_split(spark, d):
-    """Targets (here the toxic documents) and the rest, by a semi and an anti join."""
-    files, marked = corpora(spark, d).select("corpus_id", "file_idx"), _table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("file_idx"))
-    return files.join(marked, "file_idx", "left_semi").withColumn("is_target", F.lit(True)).unionByName(files.join(marked, "file_idx", "left_anti").withColumn("is_target", F.lit(False)))
+    """Targets (here the toxic documents) and the rest."""
+    marked = _table(spark, d, "labels").filter("toxic = 1").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"))
+    return compression.mark_targets(corpora(spark, d), marked).select("corpus_id", "file_idx", "is_target")
 
 
 @_query(f"WITH {_FILES} SELECT corpus_id, sum(n)::BIGINT AS tokens FROM (SELECT corpus_id, len(regexp_extract_all(string_agg(content, chr(10) ORDER BY file_idx), '[\\pL\\pN]{{1,4}}|[^\\pL\\pN\\s]'))::BIGINT AS n FROM files GROUP BY corpus_id) GROUP BY corpus_id")
 def corpus_tokens(spark, d):
     """Rough tokens of each source's joined text."""
-    return compression.token_totals(corpora(spark, d), T.approx_tokens, "content").withColumnRenamed("content", "tokens")
+    return compression.token_sums(corpora(spark, d), T.approx_tokens, "content").withColumnRenamed("content", "tokens")
+
+
+@_query(f"""WITH RECURSIVE {_book_sql(1)},
+ready AS (SELECT corpus_id, list_sort(list_transform(entries, lambda e: {{'k': -length(e.pattern), 'i': e.code_idx, 'p': e.pattern}})) AS ready,
+  '[CODEBOOK]' || chr(10) || array_to_string(list_transform(entries, lambda e: '# D' || e.code_idx || ' = ' || {_SHOWN}), chr(10)) || chr(10) || '[/CODEBOOK]' || chr(10) AS head FROM book),
+coded AS (SELECT f.corpus_id, f.content, head, list_reduce(list_transform(ready, lambda e: [e.p, '[D' || e.i || ']']), lambda a, e: [replace(a[1], e[1], e[2])], [content])[1] AS coded
+  FROM files f JOIN ready ON f.corpus_id = ready.corpus_id)
+SELECT corpus_id, length(any_value(head))::BIGINT AS header_chars, (sum(length(content)) - sum(length(coded)))::BIGINT AS saved, sum(length(content)) - sum(length(coded)) > length(any_value(head)) AS has_header
+FROM coded GROUP BY corpus_id""")
+def header_gate(spark, d):
+    """Whether a corpus' codebook of single lines saves more than its header takes."""
+    files = corpora(spark, d)
+    books = codebook.choose_entries(patterns.top_candidates(patterns.line_patterns(files, 30, 3, 1), 50), 50)
+    saved = codebook.apply_codebooks(files, books).groupBy("corpus_id").agg((F.sum(F.length("content")) - F.sum(F.length("coded"))).cast("long").alias("saved"))
+    heads = books.select("corpus_id", F.length(codebook.header(F.col("entries"))).cast("long").alias("header_chars")).join(saved, "corpus_id")
+    return heads.select("corpus_id", "header_chars", "saved", compression.pays(F.col("saved"), F.col("header_chars")).alias("has_header"))
+
+
+_UNION = f"""{_windows_sql(1, 5)}, given AS (SELECT corpus_id, content AS pattern, count(*) AS count, ((length(content) - 5) * count(*))::BIGINT AS score FROM files WHERE length(content) >= 30 GROUP BY corpus_id, content HAVING count(*) >= 2),
+u AS (SELECT * FROM scored UNION ALL SELECT * FROM given)"""
+
+
+@_query(f"WITH {_UNION} SELECT corpus_id, rank::BIGINT AS rank, pattern, count, score FROM (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY score DESC, pattern DESC, count DESC) AS rank FROM u) WHERE rank <= 100")
+def candidate_union(spark, d):
+    """Line patterns together with patterns from elsewhere: here whole texts that occur twice or more."""
+    files = corpora(spark, d)
+    whole = files.filter("length(content) >= 30").groupBy("corpus_id", F.col("content").alias("pattern")).agg(F.count(F.lit(1)).alias("count")).filter("count >= 2")
+    whole = whole.withColumn("score", (F.length("pattern") - 5) * F.col("count"))
+    top = codebook.candidates(files, 30, 3, 50, whole)
+    return top.select("corpus_id", F.col("rank").cast("long").alias("rank"), "pattern", "count", F.col("score").cast("long").alias("score"))
 
 
 # ---- the whole plan

@@ -1,19 +1,25 @@
 """Cross-file operators, the whole plan, sources, sessions, streams and tools."""
 
 import difflib
+import os
 import random
 import re
+import shutil
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
-from laconic import tools
+from laconic import sources, tools
 from laconic.config import Settings
-from laconic.operators import blocks, codebook, patterns, similarity, syntax
+from laconic.functions import text as T
+from laconic.operators import blocks, codebook, patterns, similarity, syntax, whitespace
 from laconic.plans import session
 from laconic.plans.compression import compress, compress_text, positive_savings, summary
 from laconic.plans.lineage import checkpointed
-from laconic.sources import in_memory, joined_text, load_files, with_extensions
+from laconic.plans.stages import RunLengthEncoder, Stage, WhitespaceNormalizer, register_functions
+from laconic.sources import in_memory, joined_text, load_files, with_extensions, write_joined
 from laconic.streaming import compress_batches, stream_codes, stream_stages, stream_totals
 
 SHORT = Settings(min_pattern_length=20, min_pattern_frequency=2)
@@ -155,6 +161,14 @@ def test_pairs_lose_nothing(spark):
     assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if difflib.SequenceMatcher(None, t[i], t[j]).ratio() >= 0.8}
 
 
+def test_large_length_classes_are_split(spark, monkeypatch):
+    files = {f"f{k}": "x" * (100 + k % 30) for k in range(60)}
+    want = {(r.i, r.j) for r in similarity.length_pairs(in_memory(spark, files), 0.8).collect()}
+    monkeypatch.setattr(similarity, "SPLIT", 7)
+    got = similarity.length_pairs(in_memory(spark, files), 0.8).collect()
+    assert {(r.i, r.j) for r in got} == want and len(got) == len(want) > 1000
+
+
 def test_common_subsequence():
     rng = random.Random(3)
     for _ in range(200):
@@ -242,6 +256,8 @@ def test_targets_stay_and_small_files_back_off(spark):
     rows = {r.filename: r for r in done.files.collect()}
     assert rows["main.py"].compressed == files["main.py"] and rows["main.py"].is_target
     assert rows["utils.py"].compressed == "x = 1" and rows["utils.py"].backed_off
+    many = compress(in_memory(spark, files), targets=spark.createDataFrame([("main.py",), ("main.py",), (None,)], "filename string"))
+    assert sorted(map(str, many.files.collect())) == sorted(map(str, done.files.collect()))
     assert compress_text(spark, "a  b\n\n\n\nc") == "a b\n\nc"
     plain = compress(in_memory(spark, files), Settings(stages=("whitespace_normalizer",)))
     assert "# gone" in {r.filename: r.compressed for r in plain.files.collect()}["utils.py"]
@@ -265,6 +281,68 @@ def test_tree_source(spark, tmp_path):
     assert (one.filename, one.content) == ("B.PY", "z")
 
 
+def test_tree_source_lists_in_tasks(spark, tmp_path, monkeypatch):
+    want = []
+    for name in ("a/b/c.md", "a/b.md", "a-b/x.md", "a/b/d/e.md", "z.md", "b/q.md", "a/b/c/f.md", "b/.h/x.md", "b/dist/x.md"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        if path.parent.name not in (".h", "dist"):
+            want.append(name)
+        path.write_text(name) if not path.exists() else None
+    want.sort(key=lambda n: n.split("/"))
+    monkeypatch.setattr(sources, "TASKS", 3)
+    rows = load_files(spark, str(tmp_path)).orderBy("file_idx").collect()
+    assert [r.filename for r in rows] == [r.content for r in rows] == want and len({r.file_idx for r in rows}) == len(want)
+
+
+def test_what_cannot_be_read_is_told(spark, tmp_path):
+    (tmp_path / "a.md").write_text("fine")
+    (tmp_path / "b.md").symlink_to(tmp_path / "gone.md")
+    rows = {r.filename: r.status for r in load_files(spark, str(tmp_path)).collect()}
+    assert rows["a.md"] == "read" and rows["b.md"].startswith("unreadable: ")
+    text = tools.Session(spark).read_compressed([str(tmp_path / "none.md"), str(tmp_path)])
+    assert f"[not found: {tmp_path}/none.md]" in text and "[unreadable: " in text and "fine" in text
+    assert tools.Session(spark).compress_context(str(tmp_path / "a.md")).startswith("[not a folder: ")
+
+
+def test_tool_keeps_the_order_of_paths(spark, tmp_path):
+    block = "\n".join(f"a shared line number {k} of both" for k in range(6))
+    for name in "ba":
+        (tmp_path / f"{name}.md").write_text(f"{name} only\n{block}")
+    for first, second in ("ab", "ba"):
+        text = tools.Session(spark, Settings(stages=("deduplicator",), max_compression_ratio=1.0)).read_compressed([str(tmp_path / f"{n}.md") for n in (first, second)])
+        assert f"[same as {tmp_path}/{first}.md:2-7]" in text
+
+
+def test_own_stages_and_functions(spark):
+    class Shout(Stage):
+        name = "shout"
+
+        def compress(self, content, filename):
+            return F.upper(content)
+
+    files = in_memory(spark, {"a.txt": "some  text", "b.txt": "more"})
+    assert texts(compress(files, own=(Shout(),)).files, "compressed") == {"a.txt": "SOME TEXT", "b.txt": "MORE"}
+    assert texts(WhitespaceNormalizer().compress_files(files), "content")["a.txt"] == "some text"
+    assert texts(RunLengthEncoder().compress_files(in_memory(spark, {"a": '"=========="'})), "content") == {"a": '""="*10"'}
+    assert {"laconic_normalize_whitespace", "laconic_strip_python"} <= set(register_functions(spark))
+    tricky = spark.createDataFrame([("a  b \u00a0\n\n\n\n c\t\n",), ("",), ("x = 1  # gone\n",)], "t string")
+    tricky.createOrReplaceTempView("tricky")
+    same = tricky.select("t", whitespace.normalize_whitespace(F.col("t")).alias("w"), T.approx_tokens(F.col("t")).alias("n"), T.block_hash(T.lines(F.col("t"))).alias("h"))
+    got = spark.sql("SELECT t, laconic_normalize_whitespace(t) w, laconic_approx_tokens(t) n, laconic_block_hash(t) h FROM tricky")
+    assert sorted(got.collect()) == sorted(same.collect())
+    assert spark.sql("SELECT laconic_strip_python(t) s FROM tricky WHERE t LIKE 'x%'").first().s == "x = 1\n"
+
+
+def test_joined_files_on_disk(spark, tmp_path):
+    files = {f"f{k:02}": f"text {k}\nof two lines" for k in range(9)}
+    both = in_memory(spark, files).union(in_memory(spark, {"one": "alone"}, "single"))
+    write_joined(both, str(tmp_path / "out"), "content")
+    joined = lambda c: "".join(p.read_text() for p in sorted((tmp_path / "out" / f"corpus_id={c}").glob("part-*")))
+    want = {r.corpus_id: r.text + "\n" for r in joined_text(both, "content").collect()}
+    assert {c: joined(c) for c in want} == want and want["single"] == "alone\n"
+
+
 def test_tools_and_sink(spark, tmp_path):
     for n in ("User", "Order"):
         (tmp_path / f"{n.lower()}.py").write_text(SERVICE.format(n))
@@ -309,11 +387,14 @@ def test_streams_of_files(spark, tmp_path):
     assert sorted(seen) == ["a.txt", "b.txt"]
 
 
-def test_entry_without_the_llm_folder():
-    import __spark_entry__
-
-    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert len(__spark_entry__.queries()) >= 25
+def test_entry_without_the_llm_folders(tmp_path):
+    """A copy without the folders and the pipeline still imports and has the library's own queries."""
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(top, "laconic"), tmp_path / "laconic", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(top, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; from laconic.queries import QUERIES; assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) <= set(QUERIES); print(len(QUERIES))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0 and int(said.stdout) >= 36, said.stderr
 
 
 @pytest.mark.parametrize("most", [1, 3])
