@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from laconic.llm.common import scratch, table, texts, typed
+from laconic.llm.common import scratch, sliced, table, texts, typed
 from laconic.llm.tokens import encoder
 
 #: Parquet settings: bytes of a row group, bytes and rows of a page, zstd.
@@ -26,7 +26,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
 
     def run(batches):
         of, end, before, part = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in sliced(batches):
             coded = [x + end for x in of.stream(texts(batch.column(1)))]
             n = np.array([len(x) // 4 for x in coded], np.int64)
             at = np.concatenate([[0], np.cumsum(n)])

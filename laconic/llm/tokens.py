@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Chunks, and pieces of chunks, that a worker remembers, and as many from before that; bytes of text handled at a time.
-CHUNKS, PIECES, STEP_BYTES = 200_000, 120_000, 1 << 20
+CHUNKS, PIECES, STEP_BYTES = 120_000, 80_000, 1 << 20
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BLANKS = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
