@@ -14,8 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Chunks, and pieces of chunks, that a worker remembers, and as many from before that; bytes of text handled at a time.
-CHUNKS, PIECES, STEP_BYTES = 120_000, 80_000, 1 << 20
+#: Chunks and their pieces that a worker remembers, and as many from before that; bytes of text handled at a time.
+CHUNKS, STEP_BYTES = 250_000, 1 << 20
 
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BLANKS = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
@@ -68,7 +68,7 @@ class Encoder:
         self.letters = _byte_letters()
         self.letters_only = not any(x["content"].isalpha() for x in added)
         self.tokenize = self.tokenizer.model.tokenize
-        self.chunks, self.pieces = _Memo(self._chunk, CHUNKS), _Memo(self._piece, PIECES)
+        self.chunks = _Memo(self._chunk, CHUNKS)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -78,11 +78,14 @@ class Encoder:
         return array("I", [x.id for x in self.tokenize(spelt)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha() and self.letters_only:
-            return self.pieces[chunk.lower()]
-        if not _PLAIN.fullmatch(chunk) or self.specials.search(chunk):
+        letters = chunk.isascii() and chunk.isalpha() and self.letters_only
+        if not letters and (not _PLAIN.fullmatch(chunk) or self.specials.search(chunk)):
             return self._whole(chunk)
-        return b"".join(map(self.pieces.__getitem__, _PLAIN_SPLIT.findall(chunk.lower())))
+        low = chunk.lower()
+        if low != chunk and not self.specials.search(low):
+            return self.chunks[low]
+        pieces = [low] if letters else _PLAIN_SPLIT.findall(low)  # each is a chunk as well
+        return self._piece(low) if len(pieces) == 1 else b"".join(map(self.chunks.__getitem__, pieces))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:

@@ -30,7 +30,7 @@ def test_chunks_equal_whole_texts(tokenizer):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
     run()
-    for text in ("a<|endoftext|>b <|startoftext|> c", "don't we'll I'M", "x" * 5000):
+    for text in ("a<|endoftext|>b <|startoftext|> c", "a<|ENDOFTEXT|>b <|EndOfText|> <|StartOfText|>", "don't we'll I'M", "x" * 5000):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
