@@ -9,9 +9,9 @@ log-probability and back-off. Each language has a lower and an upper bound of pe
 documents known to be good where there are enough of them, else from the quartiles of all; a document
 outside is rejected.
 
-A model is a broadcast of its own, read by the tasks that meet its language. Its bound: a half's n-grams of
-ORDER characters are counted in BUCKETS buckets by their hash, at any size of input alike; n-grams
-that share a bucket count together, under the most frequent of them. The order is fixed.
+A model is a broadcast of its own, read by the tasks that meet its language. It has every n-gram of its
+half with its own count, so it grows with the distinct n-grams; the order is fixed. Only a caller of
+train() who names a number of buckets gets counts pooled in as many.
 """
 
 from collections.abc import Iterator
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from laconic.llm.common import table, typed, utf8, written
 
-#: Characters of the longest n-gram; buckets in which a half's n-grams of that length are counted.
+#: Characters of the longest n-gram; buckets of pooled() unless told otherwise.
 ORDER, BUCKETS = 5, 1 << 22
 #: Quantiles of good documents that bound a band, and how many there must be.
 GOOD, LEAST_GOOD = (0.005, 0.995), 100
@@ -201,8 +201,9 @@ class KneserNey:
         return log
 
 
-def train(docs: DataFrame, text_col: str, key_col: str, order: int = ORDER, buckets: int = BUCKETS) -> dict[str, Broadcast]:
-    """A broadcast model for each key, from all of docs. The driver holds one model at a time."""
+def train(docs: DataFrame, text_col: str, key_col: str, order: int = ORDER, buckets: int | None = None) -> dict[str, Broadcast]:
+    """A broadcast model for each key, from all of docs and all their n-grams, pooled only where buckets
+    are asked for. The driver holds one model at a time."""
 
     def run(group: pa.Table) -> pa.Table:
         text = "".join(group.column("gram").to_pylist())
@@ -211,7 +212,9 @@ def train(docs: DataFrame, text_col: str, key_col: str, order: int = ORDER, buck
         arrays = [x[n].tobytes() for n in range(1, order + 1) for x in (model.hashes, model.logs, model.contexts, model.backoffs)]
         return pa.table({"key": [group.column("key")[0].as_py()], "unseen": [model.unseen], "arrays": pa.array([arrays], pa.list_(pa.binary()))})
 
-    grams = pooled(count_grams(docs, text_col, key_col, order), buckets)
+    grams = count_grams(docs, text_col, key_col, order)
+    if buckets is not None:
+        grams = pooled(grams, buckets)
     rows = grams.groupBy("key").applyInArrow(run, "key string, unseen double, arrays array<binary>")
     models = {}
     for row in rows.toLocalIterator():

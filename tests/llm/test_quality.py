@@ -65,6 +65,17 @@ def test_n_grams_of_a_bucket_count_together(spark):
     assert {(r.gram, r.n) for r in quality.pooled(grams).collect()} == {(g, n) for _, g, n in rows}
 
 
+def test_each_n_gram_has_its_own_count(spark):
+    """N-grams of which two share one of the 4,194,304 places of pooled() are both in the model."""
+    rng = random.Random(13)
+    texts = [" ".join("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(6)) for _ in range(2000)) for _ in range(2)]
+    docs = spark.createDataFrame([(t, "k") for t in texts], "text string, key string")
+    grams = quality.count_grams(docs, "text", "key")
+    assert quality.pooled(grams).count() < (n := grams.count())
+    model = quality.train(docs, "text", "key")["k"].value
+    assert len(model.hashes[quality.ORDER]) == n
+
+
 def plain_counts(text):
     words = quality.utf8(__import__("pyarrow").array([text]))[0].split()
     windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
